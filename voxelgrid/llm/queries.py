@@ -106,6 +106,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents")).drop("node")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_lm import score_documents
 
@@ -115,6 +121,12 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import reply_order
+
+    return reply_order(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_inner_products
 
@@ -129,7 +141,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_line_dedup,
         op5_token_files,
         op6_language_id,
+        op7_substring_dedup,
         op8_lm_scoring,
+        op9_chat_formatting,
         op10_exact_topk,
     )
     return {f.__name__: f for f in found}
