@@ -1,0 +1 @@
+"""No streaming operators: tiled rasters are bounded inputs. Sliding averages along z are batch operators."""
