@@ -65,12 +65,18 @@ def arrow_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
 
 
 def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all rows in order, and the index of each row's first word (rows + 1 long).
+    """Word hashes of all rows in order, and the index of each row's first word (rows + 1 long)."""
+    hashes, bounds, _, _ = placed_words(data, offsets)
+    return hashes, bounds
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``hash_words``, with the first and last byte (exclusive) of each word.
 
     The bytes are worked through in segments of about a megabyte cut at delimiters or row
     ends, so memory does not grow with a text; a single longer word only widens its segment.
     """
-    hashes, starts = [], []
+    hashes, starts, sizes = [], [], []
     at, end = int(offsets[0]), int(offsets[-1])
     while at < end:
         stop = min(end, at + SEGMENT)
@@ -88,16 +94,18 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
                 stop = more
                 cut = min(cuts) if cuts else (end if more == end else at)
             stop = cut
-        h, s = _segment(data[at:stop], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)] - at)
+        h, s, size = _segment(data[at:stop], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)] - at)
         hashes.append(h)
         starts.append(s + at)
+        sizes.append(size)
         at = stop
     all_hashes = np.concatenate(hashes) if hashes else np.zeros(0, _U)
     all_starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return all_hashes, np.searchsorted(all_starts, offsets)
+    ends = all_starts + np.concatenate(sizes) if sizes else all_starts
+    return all_hashes, np.searchsorted(all_starts, offsets), all_starts, ends
 
 
-def _segment(d: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment(d: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.zeros(len(d) + 2, bool)
     inside[1:-1] = ~_DELIMITER[d]
     first = np.zeros(len(d) + 1, bool)
@@ -109,7 +117,7 @@ def _segment(d: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(d) + 1, _U)
     np.cumsum(_TABLE[d] * forward[: len(d)], out=sums[1:])
     h = (sums[e] - sums[s]) * back[s]
-    return mix(h ^ (e - s).astype(_U)), s
+    return mix(h ^ (e - s).astype(_U)), s, e - s
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

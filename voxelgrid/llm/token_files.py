@@ -19,26 +19,32 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _text
 from ._store import shared_folder, tasks_for, written
 
 SEQUENCE = 2048
 BATCH_ROWS = 64
-#: Chunks kept per worker; the table is emptied when it is full.
-KEPT_CHUNKS = 500_000
+SLICE_BYTES = 12 << 20
+#: Chunks known to a worker, at some 25 bytes each; the pool is emptied when it is full.
+KEPT_CHUNKS = 3_000_000
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _SIMPLE = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class Encoder:
-    """The tokenizers library over distinct chunks between spaces.
+    """The tokenizers library over distinct chunks between white space.
 
-    The file's splitting never crosses a space, so equal chunks have equal ids wherever they
-    stand. Words of plain letters are encoded many at a time; their last token's string ends
-    in the vocabulary's word end, which tells the words apart again.
+    A vocabulary with word ends and a lower-casing normaliser never joins tokens across white
+    space, so equal chunks (A-Z folded) have equal ids wherever they stand. Chunks are found
+    and compared as hashes; the ids of known ones lie in one pool. Chunks of plain letters,
+    perhaps with marks behind, are encoded many at a time: a token whose string has the word
+    end closes a piece, which tells the chunks apart again.
     """
 
     def __init__(self, path: str):
@@ -54,48 +60,70 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
-        self.by_space = bool(suffix)
-        self.chunks: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > KEPT_CHUNKS:
-            self.chunks = {"": b""}
-        known, simple, rest, words = self.chunks, [], [], {}
-        for c in chunks:
-            m = _SIMPLE.fullmatch(c)
-            if m:
-                simple.append((c, m[1], m[2]))
-                words[m[1]] = words[m[2]] = None
-            else:
-                rest.append(c)
-        words.pop("", None)
-        new = [w for w in words if w not in known]
-        letters = [w for w in new if w[0].isalpha()]
-        if letters:
-            ids = np.array(self.library.encode(" ".join(letters), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(letters):
-                at, packed, size = 0, ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-                for w, z in zip(letters, (cuts * size).tolist(), strict=True):
-                    known[w] = packed[at:z]
-                    at = z
-            else:
-                rest += letters
-        rest += [w for w in new if not w[0].isalpha()]
-        for c, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, self.dtype).tobytes()
-        for c, a, b in simple:
-            known[c] = known[a] + known[b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_space:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        split = [(t or "").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.chunks.keys())
-        if missing:
-            full = len(self.chunks) + len(missing) > KEPT_CHUNKS
-            self._learn(set().union(*split) if full else missing)
-        return [b"".join(map(self.chunks.__getitem__, s)) for s in split]
+        self.by_chunk = bool(suffix) and "Lowercase" in repr(self.library.normalizer)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.dtype)
+
+    def _whole(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        pieces = np.zeros(len(chunks), np.int64)
+        for i, c in enumerate(chunks):
+            if c.isascii():
+                w = c.rstrip(_MARKS)
+                if w.isalpha():
+                    pieces[i] = 1 + (len(w) < len(c))
+            elif m := _SIMPLE.fullmatch(c):
+                pieces[i] = 1 + bool(m[2])
+        simple = np.flatnonzero(pieces)
+        ids = np.array(self.library.encode(" ".join([chunks[i] for i in simple]), add_special_tokens=False).ids, np.int64)
+        closes = np.flatnonzero(self.ends[ids]) + 1
+        size = np.zeros(len(chunks), np.int64)
+        if len(closes) == pieces.sum():
+            size[simple] = np.diff(np.concatenate([[0], closes[np.cumsum(pieces[simple]) - 1]])) if len(simple) else 0
+        else:
+            pieces[:], simple, ids = 0, simple[:0], ids[:0]
+        rest = np.flatnonzero(pieces == 0)
+        more = self._whole([chunks[i] for i in rest])
+        size[rest] = [len(x) for x in more]
+        order = np.concatenate([simple, rest])
+        start = np.empty(len(chunks), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order] + len(self.pool)
+        self.pool = np.concatenate([self.pool, ids.astype(self.dtype), *more])
+        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, start]), np.concatenate([self.size, size])
+        order = np.argsort(keys)
+        self.keys, self.at, self.size = keys[order], at[order], size[order]
+
+    def encode(self, column: pa.Array, end_id: int) -> list[bytes]:
+        """Packed ids of each row, with the end id behind."""
+        end = np.array([end_id], self.dtype)
+        if not self.by_chunk:
+            return [x.tobytes() + end.tobytes() for x in self._whole(column.to_pylist())]
+        data, offsets = _text.arrow_bytes(column)
+        hashes, bounds, first, last = _text.placed_words(data, offsets)
+        if len(self.keys) > KEPT_CHUNKS:
+            self._clear()
+        kinds, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        new = kinds[np.isin(kinds, self.keys, assume_unique=True, invert=True)] if len(self.keys) else kinds
+        if len(new):
+            where = where[np.searchsorted(kinds, new)]
+            raw = data.tobytes()
+            self._learn(new, [raw[a:z].decode() for a, z in zip(first[where].tolist(), last[where].tolist(), strict=True)])
+        kind = np.searchsorted(self.keys, kinds)[back]
+        size = self.size[kind]
+        stop = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[kind] - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        cuts = np.concatenate([[0], stop])[bounds]
+        out = [ids[a:z].tobytes() + end.tobytes() for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for t in self.added:  # such a string in a text is one token, in its own case only
+            for i in np.flatnonzero(pa.compute.match_substring(column, t).fill_null(False).to_numpy(zero_copy_only=False)):
+                out[i] = self._whole([column[i].as_py()])[0].tobytes() + end.tobytes()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -110,18 +138,10 @@ def _encoder(path: str) -> Encoder:
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         encoder = _encoder(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
         for b in batches:
-            at = 0
-            texts = b.column(1)
-            while at < b.num_rows:  # some megabytes at a time
-                stop, size = at, 0
-                while stop < b.num_rows and size < 4_000_000:
-                    size += len(texts[stop].as_py() or "")
-                    stop += 1
-                ids = encoder.encode(texts.slice(at, stop - at).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), pa.array([x + end for x in ids], pa.binary())], names=["id", "ids"])
-                at = stop
+            offsets = _text.arrow_bytes(b.column(1))[1]
+            for a, z in _text.slices(None, offsets, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(encoder.encode(b.column(1).slice(a, z - a), end_id), pa.binary())], names=["id", "ids"])
 
     return docs.mapInArrow(run, "id long, ids binary")
 
