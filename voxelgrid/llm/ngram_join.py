@@ -231,11 +231,18 @@ def _groups_of_bucket(table: pa.Table) -> pa.Table:
     return pa.table([np.repeat(which, size).view(np.int64), np.repeat(size, size).astype(np.int64), node[member], scheme[member], slack[member], np.repeat(times, size).astype(np.int64)], schema=schema)
 
 
-def _groups(index: DataFrame) -> DataFrame:
+def _groups(index: DataFrame, buckets: int) -> DataFrame:
     """(gid, members, node, scheme, slack, shared) of every group of two documents or more."""
     kind = "gid long, members long, node long, scheme int, slack int, shared long"
-    rows = index.groupBy("bucket").applyInArrow(_groups_of_bucket, kind)
-    # a document repeats in a group where a bucket was cut; mappers sum before the shuffle
+
+    def run(batches):
+        found = list(batches)
+        if found:
+            yield from _groups_of_bucket(pa.Table.from_batches(found)).to_batches()
+
+    # a partition for each bucket
+    rows = index.repartitionById(buckets, F.col("bucket")).mapInArrow(run, kind)
+    # equal groups of several buckets are summed, in mappers first
     return rows.groupBy("gid", "node", "scheme").agg(F.max("members").alias("members"), F.first("slack").alias("slack"), F.sum("shared").alias("shared"))
 
 
@@ -295,11 +302,12 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = written(document_sets(docs, size))
     classes = written(sets.where("digest is not null").groupBy("digest").agg(F.min("node").alias("lead")))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = written(_allocate(_groups(_index(docs, size, threshold, _bucket_count(spark, total), 1.0))))
+    buckets = _bucket_count(spark, total)
+    groups = written(_allocate(_groups(_index(docs, size, threshold, buckets, 1.0), buckets)))
     dear = groups.where(f"probe and members > {DEAR}").select("node").distinct()
     hard = docs.join(dear, "node", "left_semi")
     # who can do without dear groups finds its partners itself; the rest meets over finer segments
-    fine = _allocate(_groups(_index(hard, size, threshold, _bucket_count(spark, total // 4), FINE)))
+    fine = _allocate(_groups(_index(hard, size, threshold, buckets, FINE), buckets))
     columns = ["gid", "node", "probe"]
     easy = groups.join(dear, "node", "left_anti").where("probe").select("gid").distinct()
     kept = groups.join(easy, "gid", "left_semi").join(dear.withColumn("dear", F.lit(True)), "node", "left")
@@ -307,8 +315,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     fine = fine.select(columns)
     open_ = written(kept.unionByName(fine.join(fine.where("probe").select("gid").distinct(), "gid", "left_semi")).groupBy("gid", "node").agg(F.max("probe").alias("probe")))
     texts = written(docs.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text"))
-    links = _link_groups(open_, texts, sets.join(classes, "digest").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), size, threshold)
-    label = components(links)
+    label = written(sets.join(classes, "digest").select("node", F.col("lead").alias("component")))
+    label = _link_groups(open_, label, texts, size, threshold)
     rows = sets.join(label, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
     if not docs_renumbered:
         return rows.select(F.col("node").cast(docs.schema["id"].dataType).alias(id_col), "n_shingles", F.col("component").cast(docs.schema["id"].dataType).alias("component_id"))
@@ -318,24 +326,43 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return rows.join(names, "component").select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
-def _link_groups(groups: DataFrame, texts: DataFrame, copies: DataFrame, size: int, t: float) -> DataFrame:
-    """Verified links (a, b) that connect what the groups' probes connect.
+def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after ``links``: only components that the links touch are worked on."""
+    one, two = (label.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("a", "u"), ("b", "v")))
+    moved = components(links.join(one, "a").join(two, "b").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return written(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _link_groups(groups: DataFrame, label: DataFrame, texts: DataFrame, size: int, t: float) -> DataFrame:
+    """Labels after all links that the groups' probes have.
 
-    In each round every group still spread over several components compares its first
-    probes that have not led yet with all members in other components.
+    In each round, every group still spread over several components compares some probes that
+    have not led yet with all members in other components: one in the first round, then up to
+    4, 16, 64 and so on, until none is left. Pairs that were compared before are left out.
     """
-    links, state = written(copies), groups
+    state, tried, leads = groups, None, 1
     while True:
-        label = components(links)
-        g = state.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        spread = g.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.when(F.col("probe"), F.col("node"))).alias("leader"))
-        spread = spread.where("low < high and leader is not null").select("gid", "leader")
-        # the leader's component travels with it
-        spread = spread.join(g.select("gid", F.col("node").alias("leader"), F.col("c").alias("lc")), ["gid", "leader"])
-        pairs = g.join(spread, "gid").where("c <> lc and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        pairs = written(pairs.distinct())
-        if pairs.isEmpty():
-            return links
-        links = written(links.unionByName(_verify(pairs, texts, size, t)))
-        # leaders are done in their groups; groups without probes or spread leave
-        state = written(g.join(spread.select("gid", "leader"), "gid").select("gid", "node", (F.col("probe") & (F.col("node") != F.col("leader"))).alias("probe")))
+        g = state.join(label, "node").withColumnRenamed("component", "c")
+        part = F.pmod(F.xxhash64("node"), F.lit(leads))
+        spread = g.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gid")
+        leaders = g.where("probe").groupBy("gid", part.alias("part")).agg(F.min(F.struct("node", "c")).alias("l"))
+        leaders = leaders.select("gid", F.col("l.node").alias("a"), F.col("l.c").alias("lc")).join(spread, "gid", "left_semi")
+        leaders = written(leaders)
+        pairs = g.join(leaders.hint("merge"), "gid").where("c <> lc").select("a", F.col("node").alias("b"))
+        pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).groupBy("lo", "hi").agg(F.min("a").alias("a"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
+        pairs = written(pairs)
+        if not pairs.isEmpty():
+            links = written(_verify(pairs.select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b")), texts, size, t))
+            if not links.isEmpty():
+                label = _relabelled(label, links)
+            seen = pairs.select("lo", "hi")
+            tried = seen if tried is None else tried.unionByName(seen)
+        done = leaders.select("gid", F.col("a").alias("node"), F.lit(True).alias("led"))
+        rest = state.join(spread, "gid", "left_semi").join(done, ["gid", "node"], "left")
+        state = written(rest.select("gid", "node", (F.col("probe") & F.col("led").isNull()).alias("probe")))
+        if state.where("probe").isEmpty():
+            return label
+        leads *= 4
