@@ -85,13 +85,16 @@ def reply_order(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     links = turns.join(before, ["_c", "_t"], "left").join(best, ["_c", "_t"], "left")
     links = written(links.select("_c", "_t", F.coalesce("quoted", "prior").alias("parent"), "prior"))
     # the start of each message's run, by doubling steps along continuing messages
-    jump = written(links.select("_c", "_t", F.when(F.col("parent") == F.col("prior"), F.col("prior")).otherwise(F.col("_t")).alias("start")))
-    while True:
-        on = jump.select(F.col("_c").alias("c"), F.col("_t").alias("t"), F.col("start").alias("next"))
-        moved = written(jump.join(on, (F.col("_c") == F.col("c")) & (F.col("start") == F.col("t"))).select("_c", "_t", F.col("next").alias("start"), (F.col("next") != F.col("start")).alias("moved")))
-        jump = moved.select("_c", "_t", "start")
-        if moved.where("moved").isEmpty():
-            break
+    start = F.when(F.col("parent") == F.col("prior"), F.col("prior")).otherwise(F.col("_t"))
+    jump = written(links.select("_c", "_t", start.alias("start")))
+    done, moving = jump.where("start = _t"), jump.where("start <> _t")
+    while not moving.isEmpty():
+        on = done.unionByName(moving).select(F.col("_c").alias("c"), F.col("_t").alias("t"), F.col("start").alias("next"))
+        moved = moving.join(on, (F.col("_c") == F.col("c")) & (F.col("start") == F.col("t")))
+        moved = written(moved.select("_c", "_t", F.col("next").alias("start"), (F.col("next") != F.col("start")).alias("moved")))
+        done = done.unionByName(moved.where("not moved").select("_c", "_t", "start"))
+        moving = moved.where("moved").select("_c", "_t", "start")
+    jump = done
     # runs and the branch points above them
     heads = links.join(jump, ["_c", "_t"]).where("_t = start")
     up = jump.select(F.col("_c").alias("c"), F.col("_t").alias("t"), F.col("start").alias("above"))
