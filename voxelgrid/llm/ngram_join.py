@@ -9,7 +9,7 @@ and needs only enough of them to cover H + 1 units. Which ones is decided by cos
 that no other document has are free, and the rest is taken from the smallest groups. A
 document whose free signatures already cover H + 1 has no partner. Documents that would need
 large groups are indexed again over a finer partition. What is left are small sets of candidate
-groups, which are compared leader by leader and verified on the whole sets.
+groups, whose members are compared by bitmaps and verified on the whole sets.
 
 Contracts
 * null or wordless text: an empty set, linked with nothing, component of its own.
@@ -45,6 +45,10 @@ ENTRIES_PER_TASK = 3_000_000
 #: Members compared with one leader in one task.
 MEMBERS_PER_TASK = 256
 FINE = 4.0
+#: Members on the left side of one cell of a large group.
+CELL_MEMBERS = 2048
+#: Pairs of a document with each other component that are looked at first.
+CLOSEST = 256
 
 
 def _differences(t: float, total: int) -> int:
@@ -334,35 +338,101 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
+def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    """(node, n, bits): set sizes, and bitmaps of about two bits per token.
+
+    A bit that only one of two sets has stands for at least one token that only that set has,
+    so the number of differing bits bounds the number of differing tokens from below.
+    """
+
+    def run(batches):
+        for b in batches:
+            n, bits = [], []
+            for s in _sets(b.column(1), size):
+                width = 1 << min(16, max(8, (2 * len(s) - 1).bit_length()))
+                one = np.zeros(width, bool)
+                one[(s >> _U(20)).astype(np.int64) & (width - 1)] = True
+                n.append(len(s))
+                bits.append(np.packbits(one, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["node", "n", "bits"])
+
+    return texts.mapInArrow(run, "node long, n long, bits binary")
+
+
+def _near(table: pa.Table, t: float, most: int) -> pa.Table:
+    """Pairs of a group that lie in different components and that their bitmaps do not rule out.
+
+    For each document outside of the group's largest component, the ``most`` closest of every
+    other component; ``more`` counts those that were held back.
+    """
+    node, comp, n = (table.column(c).to_numpy() for c in ("node", "c", "n"))
+    probe, left = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("probe", "left"))
+    kinds, of, times = np.unique(comp, return_inverse=True, return_counts=True)
+    rows = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+    width = min(map(len, rows))
+    bits = np.stack([np.bitwise_or.reduce(r.reshape(-1, width), axis=0) for r in rows])
+    found = []
+    for i in np.flatnonzero(left & (of != np.argmax(times))):
+        other = np.flatnonzero((of != of[i]) & (probe | probe[i]) & (n >= t * n[i] - 1e-9) & (n[i] >= t * n - 1e-9))
+        apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
+        good = apart <= (1 - t) / (1 + t) * (n[other] + n[i]) + 1e-9
+        other, apart = other[good], apart[good]
+        if not len(other):
+            continue
+        order = np.lexsort((node[other], apart, of[other]))
+        other = other[order]
+        first = np.searchsorted(of[other], of[other])
+        place = np.arange(len(other)) - first
+        held = int(np.count_nonzero(place >= most))
+        found += [(node[i], node[j], held) for j in other[place < most]]
+    a, b, more = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.int64())], names=["a", "b", "more"])
+
+
+def _near_with(t: float, most: int):
+    return lambda table: _near(table, t, most)
+
+
+def _spread(state: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their components, and the groups with a probe that lie in several components."""
+    g = state.join(label, "node").withColumnRenamed("component", "c")
+    kept = g.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("probe").alias("any"), F.min(F.when(F.col("probe"), F.struct("node", "c"))).alias("l"), F.count("*").alias("members"))
+    return g, kept.where("low < high and any")
+
+
 def _link_groups(groups: DataFrame, label: DataFrame, texts: DataFrame, size: int, t: float) -> DataFrame:
     """Labels after all links that the groups' probes have.
 
-    In each round, every group still spread over several components compares some probes that
-    have not led yet with all members in other components: one in the first round, then up to
-    4, 16, 64 and so on, until none is left. Pairs that were compared before are left out.
+    First each group's first probe is compared with the members in other components, which
+    joins groups of copies. Then the groups that still lie in several components go to
+    tasks with bitmaps of their members, and give only pairs that can still be similar: the
+    closest of each component first, then sixteen times as many, until none is held back.
     """
-    state, tried, leads = groups, None, 1
+    g, spread = _spread(groups, label)
+    stars = g.join(spread.select("gid", "l"), "gid").where("c <> l.c").select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+    stars = written(stars.distinct())
+    links = written(_verify(stars, texts, size, t))
+    label = _relabelled(label, links)
+    tried = stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    state, most, bits = groups, CLOSEST, written(_bitmaps(texts, size))
     while True:
-        g = state.join(label, "node").withColumnRenamed("component", "c")
-        part = F.pmod(F.xxhash64("node"), F.lit(leads))
-        spread = g.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gid")
-        leaders = g.where("probe").groupBy("gid", part.alias("part")).agg(F.min(F.struct("node", "c")).alias("l"))
-        leaders = leaders.select("gid", F.col("l.node").alias("a"), F.col("l.c").alias("lc")).join(spread, "gid", "left_semi")
-        leaders = written(leaders)
-        pairs = g.join(leaders.hint("merge"), "gid").where("c <> lc").select("a", F.col("node").alias("b"))
-        pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).groupBy("lo", "hi").agg(F.min("a").alias("a"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
-        pairs = written(pairs)
+        g, spread = _spread(state, label)
+        g = written(g.join(spread.select("gid", "members"), "gid"))
+        if g.isEmpty():
+            return label
+        state = g.select("gid", "node", "probe")
+        salts = F.ceil(F.col("members") / CELL_MEMBERS).cast("int")
+        cells = g.join(bits, "node").withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        cells = cells.withColumn("left", F.pmod(F.xxhash64("node"), F.col("salts")) == F.col("salt"))
+        near = cells.select("gid", "salt", "node", "c", "n", "bits", "probe", "left").groupBy("gid", "salt").applyInArrow(_near_with(t, most), "a long, b long, more long")
+        near = near.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"), F.max("more").alias("more"))
+        near = written(near)
+        pairs = written(near.join(tried, ["lo", "hi"], "left_anti"))
         if not pairs.isEmpty():
             links = written(_verify(pairs.select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b")), texts, size, t))
             if not links.isEmpty():
                 label = _relabelled(label, links)
-            seen = pairs.select("lo", "hi")
-            tried = seen if tried is None else tried.unionByName(seen)
-        done = leaders.select("gid", F.col("a").alias("node"), F.lit(True).alias("led"))
-        rest = state.join(spread, "gid", "left_semi").join(done, ["gid", "node"], "left")
-        state = written(rest.select("gid", "node", (F.col("probe") & F.col("led").isNull()).alias("probe")))
-        if state.where("probe").isEmpty():
+            tried = tried.unionByName(pairs.select("lo", "hi"))
+        if near.where("more > 0").isEmpty():
             return label
-        leads *= 4
+        most *= 16
