@@ -44,8 +44,8 @@ START, END = _U(0x51A2_7E0F_93C4_D865), _U(0xE94D_3B16_0A7F_C258)
 PRIOR = 100.0
 #: A word or pair is frequent from this share of the training tokens on.
 FREQUENT = 1 / 1024
-TOKENS_PER_SHARD = 3_000_000
-CHUNK_BYTES = 8 << 20
+TOKENS_PER_SHARD = 2_000_000
+CHUNK_BYTES = 6 << 20
 CONTEXT_BITS = 40
 CODES = 65535
 
@@ -55,7 +55,11 @@ class EliasFano:
 
     def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
-        self.zeros = np.flatnonzero(np.unpackbits(high) == 0) if n else np.zeros(0, np.int64)
+        bits = np.unpackbits(high)
+        self.ones = np.flatnonzero(bits)
+        # ones before each zero: where the values of each high part end
+        self.ends = np.flatnonzero(bits[: (int(self.ones[-1]) if n else 0) + 2] == 0)
+        self.ends -= np.arange(len(self.ends))
 
     @classmethod
     def build(cls, values: np.ndarray) -> "EliasFano":
@@ -63,7 +67,7 @@ class EliasFano:
         if not n:
             return cls(0, 0, np.zeros((0, 0), np.uint8), np.zeros(0, np.uint8))
         spread = max(1, int(values[-1]) // n)
-        low_bytes = min(7, spread.bit_length() // 8)
+        low_bytes = min(7, -(-spread.bit_length() // 8))
         low = np.ascontiguousarray(values).view(np.uint8).reshape(n, 8)[:, :low_bytes]
         top = (values >> _U(8 * low_bytes)).astype(np.int64)
         bits = np.zeros(int(top[-1]) + n + 1, np.uint8)
@@ -77,18 +81,16 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions ``i``."""
-        # the k-th zero has zeros[k] - k ones before it
-        top = np.searchsorted(self.zeros - np.arange(len(self.zeros)), i, "right")
+        top = self.ones[i] - i
         return (top.astype(_U) << _U(8 * self.low_bytes)) | self.low_at(i)
 
     def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """Position of the first value of at least ``x`` in [first, last), or ``last``."""
         if not self.n:
             return np.zeros(len(x), np.int64)
-        top = np.minimum(x >> _U(8 * self.low_bytes), _U(len(self.zeros))).astype(np.int64)
-        ones = np.concatenate([[0], self.zeros - np.arange(len(self.zeros))])
-        lo = np.minimum(ones[np.minimum(top, len(ones) - 1)], self.n)
-        hi = np.minimum(np.where(top + 1 < len(ones), ones[np.minimum(top + 1, len(ones) - 1)], self.n), self.n)
+        top = np.minimum(x >> _U(8 * self.low_bytes), _U(len(self.ends))).astype(np.int64)
+        bound = np.concatenate([[0], self.ends, [self.n]])
+        lo, hi = bound[top], bound[np.minimum(top + 1, len(bound) - 1)]
         if first is not None:
             lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
         want = x & _U((1 << (8 * self.low_bytes)) - 1)
@@ -377,30 +379,41 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return _batch(([chunk], [shard], [rows.to_bytes(8, "little") + sums.tobytes() + sink.getvalue().to_pybytes()]))
 
     def answer(batches):
-        blobs = [(c, s, d) for b in batches for c, s, d in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+        shard, blobs = 0, []
+        while batches:
+            b = batches.pop()
+            if b.num_rows:
+                shard = b.column(1)[0].as_py()
+                blobs += zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
         if not blobs:
             return
-        shard = blobs[0][1]
-        parts = [_unpacked(d) for _, _, d in blobs]
-        w, u = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        train_mask = np.concatenate([p[3][p[2]] for p in parts])
+        n_all = sum(int(np.frombuffer(d, np.int64, 4)[3]) for _, d in blobs)
+        w, u, is_train = np.empty(n_all, _U), np.empty(n_all, _U), np.empty(n_all, bool)
+        at, placed = 0, []
+        for k, (chunk, data) in enumerate(blobs):
+            w1, u1, counts1, train1 = _unpacked(data)
+            blobs[k] = None
+            z_ = at + len(w1)
+            w[at:z_], u[at:z_], is_train[at:z_] = w1, u1, np.repeat(train1, counts1)
+            placed.append((chunk, at, counts1.astype(np.uint32)))
+            at = z_
         uri = f"{folder}/{shard:06d}.trie"
-        Trie.write(uri, *Trie.build(w[train_mask], u[train_mask], given, base))
-        del train_mask
+        Trie.write(uri, *Trie.build(w[is_train], u[is_train], given, base))
         trie = Trie.open(uri)
         _, first, back = np.unique(_pair_key(w, u), return_index=True, return_inverse=True)
-        counts, value = trie.lookup(w[first], u[first])
-        hot = _place(frequent, w[first])
+        w, u = w[first], u[first]
+        counts, value = trie.lookup(w, u)
+        del trie
+        hot = _place(frequent, w)
         counts = np.where(hot >= 0, given_counts[hot] if len(frequent) else 0, counts)
         b_ = base(counts)
-        value = np.where(np.isnan(value), np.log10(PRIOR) + b_, value) + np.where(w[first] == END, 0, context_term(counts))
-        del w, u
-        at = 0
-        for (chunk, _, _), p in zip(blobs, parts, strict=True):
-            i, rows = back[at : at + len(p[2])], len(p[3])
-            at += len(p[2])
-            sums = np.stack([np.bincount(p[2], x, rows) for x in (b_[i], counts[i] > 0, value[i])])
-            yield _batch(([chunk], [shard], [rows.to_bytes(8, "little") + sums[[0, 2]].tobytes() + sums[1].astype(np.uint32).tobytes()]))
+        value = np.where(np.isnan(value), np.log10(PRIOR) + b_, value) + np.where(w == END, 0, context_term(counts))
+        for chunk, at, counts1 in placed:
+            rows = len(counts1)
+            doc = np.repeat(np.arange(rows), counts1)
+            i = back[at : at + len(doc)]
+            sums = [np.bincount(doc, x, rows) for x in (b_[i], value[i], counts[i] > 0)]
+            yield _batch(([chunk], [shard], [rows.to_bytes(8, "little") + sums[0].tobytes() + sums[1].astype(np.float32).tobytes() + sums[2].astype(np.uint32).tobytes()]))
 
     def combine(batches):
         chunks: dict[int, list] = {}
@@ -412,8 +425,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     one[0] += np.frombuffer(data, np.float64, 3 * rows, 8).reshape(3, rows)
                     one[1] = data[8 + 24 * rows :]
                 else:
-                    one[0][[0, 2]] += np.frombuffer(data, np.float64, 2 * rows, 8).reshape(2, rows)
-                    one[0][1] += np.frombuffer(data, np.uint32, rows, 8 + 16 * rows)
+                    one[0][0] += np.frombuffer(data, np.float64, rows, 8)
+                    one[0][2] += np.frombuffer(data, np.float32, rows, 8 + 8 * rows)
+                    one[0][1] += np.frombuffer(data, np.uint32, rows, 8 + 12 * rows)
         for sums, head in chunks.values():
             ids = pa.ipc.open_stream(head).read_all().combine_chunks().to_batches()[0] if len(sums[0]) else None
             if ids is not None:
@@ -473,4 +487,4 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     wi = np.frombuffer(data[at : at + n * kind().itemsize], kind)
     at += n * kind().itemsize
     ui = np.frombuffer(data[at:], np.uint16 if contexts < 65536 else np.uint32)
-    return w[wi], u[ui], np.repeat(np.arange(rows), counts), train
+    return w[wi], u[ui], counts, train
