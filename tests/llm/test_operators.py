@@ -174,8 +174,8 @@ def test_passages(spark):
     got = found.collect()
     assert {r.doc_id for r in got} == {0, 1, 2, 3} and {r.doc_id for r in got if r.removed} == {1, 2, 3}
     left = {r.doc_id: len((r.text or "").split()) for r in passages.without_passages(df, found).collect()}
-    # cut places fall inside of the passage, so its edges may stay
-    assert left[0] == 150 and all(90 <= left[k] <= 130 for k in (1, 2, 3)) and left[9] == 90
+    # cut places lie inside of the passage: its edges may stay, or go with a few words beside them
+    assert left[0] == 150 and all(80 <= left[k] <= 130 for k in (1, 2, 3)) and left[9] == 90
 
 
 def test_quotes(spark):
