@@ -7,7 +7,7 @@ collide in a band are verified by exact Jaccard; classes of similar paragraphs a
 components, of which the first occurrence stays.
 
 Contracts
-* null or empty text has no paragraphs; paragraphs of under ``least_words`` words take no part.
+* null or empty text has no paragraphs; paragraphs of under ``least_words`` words (5 at least) take no part.
 * repeated stretches of under ``least_passage`` words in a row are left alone.
 * occurrences are ordered by id, then place; repeated ids are numbered anew (``_store.identified``).
 * extra columns of the input are ignored.
@@ -44,6 +44,15 @@ def bands(threshold: float, recall: float = RECALL, rows: int = ROWS_PER_BAND) -
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
+def _windows(words: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of SHINGLE words."""
+    n = max(0, len(words) - SHINGLE + 1)
+    h = words[:n].copy()
+    for k in range(1, SHINGLE):
+        h = _text.mix(h) + words[k : n + k]
+    return _text.mix(h)
+
+
 class Units:
     """The paragraphs of a slice of texts: their row, first word, words, and shingle hashes."""
 
@@ -65,22 +74,37 @@ class Units:
             start[:n] |= h < around
         at = np.flatnonzero(start[:n])
         size = np.diff(np.concatenate([at, [n]]))
-        keep = size >= least
+        keep = size >= max(least, SHINGLE)
         self.at, self.size = at[keep], size[keep]
         self.row = np.searchsorted(first_word, self.at, "right") - 1
         self.first = self.at - first_word[self.row]
-        s, ends = _text.shingles(words, np.concatenate([at, [n]]), SHINGLE)
-        self.sets = [s[ends[i] : ends[i + 1]] for i in np.flatnonzero(keep)]
-        count = np.diff(ends)[keep]
-        self.hashes = np.concatenate(self.sets) if self.sets else np.zeros(0, _U)
+        count = self.size - SHINGLE + 1
         self.starts = np.cumsum(count) - count
-        # a set's identity: the sum over distinct hashes
-        self.digest = np.array([int(np.add.reduce(_text.mix(np.unique(x)))) for x in self.sets], _U)
-
-    def minhashes(self, k: int) -> np.ndarray:
-        out = np.zeros((k, len(self.sets)), _U)
-        for j in range(k):
-            out[j] = np.minimum.reduceat(_text.mix(self.hashes ^ _U(0xA5A5_0000_0000_0001 * (j + 3) % 2**64)), self.starts)
+        unit = np.repeat(np.arange(len(count)), count)
+        self.hashes = _windows(words)[np.arange(len(unit)) + np.repeat(self.at - self.starts, count)]
+        # a set's identity: the sum over its distinct hashes
+        mixed = _text.mix(self.hashes)
+        own = mixed ^ _text.mix(unit.astype(_U) + _U(1))
+        order = np.argsort(own)
+        again = order[1:][own[order[1:]] == own[order[:-1]]]
+        mixed[again] = 0
+        self.digest = np.add.reduceat(mixed, self.starts) if len(count) else np.zeros(0, _U)
+
+    def set_of(self, i: int) -> np.ndarray:
+        """The distinct shingle hashes of a paragraph, sorted."""
+        return np.unique(self.hashes[self.starts[i] : self.starts[i] + self.size[i] - SHINGLE + 1])
+
+    def minhashes(self, k: int, some: np.ndarray) -> np.ndarray:
+        """``k`` MinHash values of each of the paragraphs ``some``."""
+        count = self.size[some] - SHINGLE + 1
+        starts = np.cumsum(count) - count
+        hashes = self.hashes[np.arange(int(count.sum())) + np.repeat(self.starts[some] - starts, count)]
+        hashes ^= hashes >> _U(29)
+        odd = _text.mix(np.arange(1, k + 1, dtype=_U)) | _U(1)
+        out = np.zeros((k, len(some)), _U)
+        for j in range(k if len(some) else 0):
+            # the hashes are mixed already: an odd factor orders them anew
+            out[j] = np.minimum.reduceat(hashes * odd[j], starts)
         return out
 
 
@@ -88,7 +112,7 @@ def _units(batch: pa.RecordBatch, least: int):
     data, offsets = _text.arrow_bytes(batch.column(1))
     for a, z in _text.slices(data, offsets):
         u = Units(data, offsets[a : z + 1], least)
-        if len(u.sets):
+        if len(u.digest):
             yield a, u
 
 
@@ -117,7 +141,7 @@ def _candidates(docs: DataFrame, parts: int, threshold: float, least: int) -> Da
                 first = first[new]
                 if not len(first):
                     continue
-                m = u.minhashes(b_ * ROWS_PER_BAND)[:, first]
+                m = u.minhashes(b_ * ROWS_PER_BAND, first)
                 sig = np.concatenate([_text.mix(np.add.reduce([_text.mix(m[j * ROWS_PER_BAND + r] + _U(r)) for r in range(ROWS_PER_BAND)]) + _U(j)) for j in range(b_)])
                 own = np.tile(u.digest[first], b_)
                 rows = [(p, sig[i].tobytes(), own[i].tobytes()) for p, i in _dealt(sig, parts)]
@@ -167,7 +191,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, bits, threshold: float, least:
                 likely = np.flatnonzero(_in_filter(bits.value, u.digest))
                 _, first = np.unique(u.digest[likely], return_index=True)
                 some = likely[first]
-                yield pa.RecordBatch.from_arrays([pa.array(u.digest[some].view(np.int64)), pa.array([np.unique(u.sets[i]).tobytes() for i in some], pa.binary())], names=["d", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(u.digest[some].view(np.int64)), pa.array([u.set_of(i).tobytes() for i in some], pa.binary())], names=["d", "s"])
 
     def similar(batches):
         for b in batches:
