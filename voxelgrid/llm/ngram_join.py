@@ -339,10 +339,10 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
-    """(node, n, bits): set sizes, and bitmaps of about two bits per token.
+    """(node, n, bits): set sizes, and odd sketches of about two bits per token.
 
-    A bit that only one of two sets has stands for at least one token that only that set has,
-    so the number of differing bits bounds the number of differing tokens from below.
+    A bit is the parity of the tokens that fall on it, so tokens of both sets cancel out and each
+    token of only one set flips one bit: differing bits bound differing tokens from below.
     """
 
     def run(batches):
@@ -350,10 +350,9 @@ def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
             n, bits = [], []
             for s in _sets(b.column(1), size):
                 width = 1 << min(16, max(8, (2 * len(s) - 1).bit_length()))
-                one = np.zeros(width, bool)
-                one[(s >> _U(20)).astype(np.int64) & (width - 1)] = True
+                one = np.bincount((s >> _U(20)).astype(np.int64) & (width - 1), minlength=width) & 1
                 n.append(len(s))
-                bits.append(np.packbits(one, bitorder="little").tobytes())
+                bits.append(np.packbits(one.astype(bool), bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["node", "n", "bits"])
 
     return texts.mapInArrow(run, "node long, n long, bits binary")
@@ -370,7 +369,7 @@ def _near(table: pa.Table, t: float, most: int) -> pa.Table:
     kinds, of, times = np.unique(comp, return_inverse=True, return_counts=True)
     rows = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
     width = min(map(len, rows))
-    bits = np.stack([np.bitwise_or.reduce(r.reshape(-1, width), axis=0) for r in rows])
+    bits = np.stack([np.bitwise_xor.reduce(r.reshape(-1, width), axis=0) for r in rows])
     found = []
     for i in np.flatnonzero(left & (of != np.argmax(times))):
         other = np.flatnonzero((of != of[i]) & (probe | probe[i]) & (n >= t * n[i] - 1e-9) & (n[i] >= t * n - 1e-9))
