@@ -1,10 +1,11 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-A paragraph is a line; a long one is cut where the hash of a word is the least of its
-neighbourhood, so that a passage is cut alike wherever it stands. A paragraph's word shingles
+A paragraph is a line. One of over LONG_WORDS words is taken as a whole and in pieces: it is
+cut where the hash of a word is the least of its neighbourhood within the line, so that a
+passage is cut alike wherever it stands. A paragraph's word shingles
 give MinHash bands, tuned for a recall at the similarity threshold. Distinct paragraphs that
 collide in a band are verified by exact Jaccard; classes of similar paragraphs are
-components, of which the first occurrence stays.
+components, of which the first occurrence stays (and what overlaps it in its document).
 
 Contracts
 * null or empty text has no paragraphs; paragraphs of under ``least_words`` words (5 at least) take no part.
@@ -29,6 +30,8 @@ from ._store import identified, tasks_for, written
 _U = np.uint64
 SHINGLE = 5
 REACH = 7
+#: Lines of more words are compared in pieces too.
+LONG_WORDS = 30
 LEAST_WORDS = 8
 LEAST_PASSAGE = 20
 ROWS_PER_BAND = 2
@@ -53,8 +56,18 @@ def _windows(words: np.ndarray) -> np.ndarray:
     return _text.mix(h)
 
 
+def _least_around(h: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
+    """Which words have a smaller hash than all others of their line within this reach."""
+    low = np.ones(len(h), bool)
+    for k in range(1, min(reach, len(h) - 1) + 1):
+        apart = line[:-k] != line[k:]
+        low[:-k] &= (h[:-k] < h[k:]) | apart
+        low[k:] &= (h[k:] < h[:-k]) | apart
+    return low
+
+
 class Units:
-    """The paragraphs of a slice of texts: their row, first word, words, and shingle hashes."""
+    """The paragraphs and pieces of a slice of texts: their row, first word, words, and shingle hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
         newline = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0] + 1
@@ -62,18 +75,17 @@ class Units:
         words, bounds = _text.hash_words(data, lines)
         n = len(words)
         first_word = bounds[np.searchsorted(lines, offsets)]
-        start = np.zeros(n + 1, bool)
-        start[bounds] = True
-        if n:
-            h = _text.mix(words + _U(11))
-            padded = np.concatenate([np.full(REACH, 2**64 - 1, _U), h, np.full(REACH, 2**64 - 1, _U)])
-            around = np.full(n, 2**64 - 1, _U)
-            for k in range(2 * REACH + 1):
-                if k != REACH:
-                    np.minimum(around, padded[k : k + n], out=around)
-            start[:n] |= h < around
-        at = np.flatnonzero(start[:n])
+        lengths = np.diff(bounds)
+        begin, lengths = bounds[:-1][lengths > 0], lengths[lengths > 0]
+        line = np.repeat(np.arange(len(begin)), lengths)
+        long = lengths > LONG_WORDS
+        start = np.zeros(n, bool)
+        start[begin] = True
+        start |= _least_around(_text.mix(words + _U(11)), line, REACH) & long[line]
+        at = np.flatnonzero(start)
         size = np.diff(np.concatenate([at, [n]]))
+        whole = long & (np.bincount(line[at], minlength=len(begin)) > 1)
+        at, size = np.concatenate([at, begin[whole]]), np.concatenate([size, lengths[whole]])
         keep = size >= max(least, SHINGLE)
         self.at, self.size = at[keep], size[keep]
         self.row = np.searchsorted(first_word, self.at, "right") - 1
@@ -260,15 +272,19 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     dealt = places.withColumn("s", salt)
     classed = dealt.join(label, (F.col("d") == F.col("ld")) & (F.col("s") == F.col("part")), "left")
     classed = written(classed.select(F.coalesce("lc", "d").alias("component"), "node", "first_word", "n_words"))
-    firsts = classed.groupBy("component").agg(F.min(F.struct("node", "first_word")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    # a class that only overlaps itself, as a paragraph and its piece may, is no repeat
+    firsts = classed.groupBy("component").agg(F.min(F.struct("node", "first_word", (-F.col("n_words")).alias("size"))).alias("lead"), F.max(F.struct("node", "first_word")).alias("last"))
+    firsts = firsts.where("last.node > lead.node or last.first_word >= lead.first_word - lead.size")
     firsts = firsts.select(F.col("component").alias("fc"), "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     again = classed.withColumn("s", salt).join(firsts, (F.col("component") == F.col("fc")) & (F.col("s") == F.col("part")))
-    again = again.withColumn("later", F.struct("node", "first_word") != F.col("lead"))
-    # neighbouring paragraphs join into one passage; a window holds one document's paragraphs
+    again = again.withColumn("later", F.expr("node <> lead.node or first_word >= lead.first_word - lead.size"))
+    again = again.select("component", "node", "first_word", "n_words", "later")
+    # neighbouring and overlapping paragraphs join into one passage; a window holds one document's paragraphs
     place = Window.partitionBy("node").orderBy("first_word")
-    gap = F.when(F.col("first_word") == F.lag(F.col("first_word") + F.col("n_words")).over(place), 0).otherwise(1)
+    end = F.col("first_word") + F.col("n_words")
+    gap = F.when(F.col("first_word") <= F.max(end).over(place.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
     runs = again.withColumn("gap", gap).withColumn("run", F.sum("gap").over(place))
-    found = runs.groupBy("node", "run").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), F.min("component").alias("component"), F.bool_or("later").alias("removed"))
+    found = runs.groupBy("node", "run").agg(F.min("first_word").alias("first_word"), (F.max(end) - F.min("first_word")).alias("n_words"), F.min("component").alias("component"), F.bool_or("later").alias("removed"))
     found = found.where(F.col("n_words") >= least_passage).drop("run")
     named = docs.select("node", F.col("id").alias(id_col))
     return found.join(named, "node").select(id_col, "node", "first_word", "n_words", "component", "removed")
