@@ -54,3 +54,22 @@ def test_neighbours_do_not_cut():
     line = " ".join(distinct(90, 1))
     assert len(digests(line)) > 3
     assert all(digests(line) <= digests(f"{' '.join(distinct(40, s))}\n{line}\n{' '.join(distinct(41, -s))}") for s in range(3, 20))
+
+
+def test_passages_of_lines(spark):
+    kinds = ((56, 7), (60, 12), (60, 15), (60, 20), (24, 3), (20, 10))
+
+    def make(k):
+        n, size = kinds[k % 6]
+        return [f"{lines(distinct(25, f'{k}{x}'), 6)}\n{lines(distinct(n, k), size)}\n{lines(distinct(31, f'{k}{x}z'), 9)}" for x in "ab"]
+
+    got = reported(spark, pairs_of(make, 120))
+    assert all(got.get(2 * k + 1) == kinds[k % 6][0] and got.get(2 * k) == 0 for k in range(120))
+
+
+def test_passages_inside_a_line(spark):
+    def make(k):
+        return [" ".join([*distinct(40, f"{k}{x}"), *distinct((35, 51, 60)[k % 3], k), *distinct(45, f"{k}{x}z")]) for x in "ab"]
+
+    got = reported(spark, pairs_of(make, 150))
+    assert sum(got.get(2 * k + 1, 0) >= 20 for k in range(150)) >= 148

@@ -7,8 +7,12 @@ give MinHash bands, tuned for a recall at the similarity threshold. Distinct par
 collide in a band are verified by exact Jaccard; classes of similar paragraphs are
 components, of which the first occurrence stays (and what overlaps it in its document).
 
+Word for word, windows of ``least_words`` words are compared as well, across line ends: those
+that begin or end where a line does or at a content-defined place. So short lines and pieces
+join with their neighbours, and no stretch of whole lines is too finely divided to be found.
+
 Contracts
-* null or empty text has no paragraphs; paragraphs of under ``least_words`` words (5 at least) take no part.
+* null or empty text has no paragraphs; paragraphs of under ``least_words`` words (5 at least) take part in windows only.
 * repeated stretches of under ``least_passage`` words in a row are left alone.
 * occurrences are ordered by id, then place; repeated ids are numbered anew (``_store.identified``).
 * extra columns of the input are ignored.
@@ -32,6 +36,8 @@ SHINGLE = 5
 REACH = 7
 #: Lines of more words are compared in pieces too.
 LONG_WORDS = 30
+#: Words to both sides of a place where windows begin and end.
+WINDOW_REACH = 4
 LEAST_WORDS = 8
 LEAST_PASSAGE = 20
 ROWS_PER_BAND = 2
@@ -69,7 +75,7 @@ def _least_around(h: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
 class Units:
     """The paragraphs and pieces of a slice of texts: their row, first word, words, and shingle hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int, windows: bool = False):
         newline = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0] + 1
         lines = np.union1d(offsets, newline)
         words, bounds = _text.hash_words(data, lines)
@@ -81,7 +87,10 @@ class Units:
         long = lengths > LONG_WORDS
         start = np.zeros(n, bool)
         start[begin] = True
-        start |= _least_around(_text.mix(words + _U(11)), line, REACH) & long[line]
+        h = _text.mix(words + _U(11))
+        start |= _least_around(h, line, REACH) & long[line]
+        if windows:
+            self._windows(words, first_word, begin, np.flatnonzero(_least_around(h, line, WINDOW_REACH)), max(least, SHINGLE))
         at = np.flatnonzero(start)
         size = np.diff(np.concatenate([at, [n]]))
         whole = long & (np.bincount(line[at], minlength=len(begin)) > 1)
@@ -102,6 +111,24 @@ class Units:
         mixed[again] = 0
         self.digest = np.add.reduceat(mixed, self.starts) if len(count) else np.zeros(0, _U)
 
+    def _windows(self, words, first_word, begin, places, size) -> None:
+        """Row, first word and digest of the windows; longer gaps between places are filled with windows."""
+        begins = np.union1d(begin, places)
+        last = first_word[np.minimum(np.searchsorted(first_word, begins, "right"), len(first_word) - 1)]
+        room = np.minimum(np.append(begins[1:], len(words)), last) - begins
+        more = np.where(room > 2 * size, room // size, 0)
+        filled = np.repeat(begins, more) + size * (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1)
+        ends = np.union1d(begins, first_word)
+        at = np.unique(np.concatenate([begins, filled, ends[ends >= size] - size]))
+        row = np.searchsorted(first_word, at, "right") - 1
+        inside = at + size <= first_word[np.minimum(row + 1, len(first_word) - 1)]
+        at, self.window_row = at[inside], row[inside]
+        self.window_first = at - first_word[self.window_row]
+        h = np.full(len(at), size, _U)
+        for k in range(size):
+            h = _text.mix(h) + words[at + k]
+        self.window_digest = _text.mix(h)
+
     def set_of(self, i: int) -> np.ndarray:
         """The distinct shingle hashes of a paragraph, sorted."""
         return np.unique(self.hashes[self.starts[i] : self.starts[i] + self.size[i] - SHINGLE + 1])
@@ -120,11 +147,11 @@ class Units:
         return out
 
 
-def _units(batch: pa.RecordBatch, least: int):
+def _units(batch: pa.RecordBatch, least: int, windows: bool = False):
     data, offsets = _text.arrow_bytes(batch.column(1))
     for a, z in _text.slices(data, offsets):
-        u = Units(data, offsets[a : z + 1], least)
-        if len(u.digest):
+        u = Units(data, offsets[a : z + 1], least, windows)
+        if len(u.digest) or windows and len(u.window_digest):
             yield a, u
 
 
@@ -222,18 +249,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, bits, threshold: float, least:
 
 
 def _occurrences(docs: DataFrame, parts: int, bits, least: int) -> DataFrame:
-    """(d, node, first_word, n_words) of paragraphs that occur twice or may be similar to another."""
+    """(d, node, first_word, n_words, later) of paragraphs that occur twice or may be similar to another, and of windows that occur twice.
+
+    ``later`` is null for paragraphs; for windows it is false for the first and what overlaps it.
+    """
+    width = max(least, SHINGLE)
 
     def places(batches):
         for batch in batches:
             nodes = batch.column(0).to_numpy()
-            for a, u in _units(batch, least):
-                packed = np.empty((len(u.digest), 3), np.int64)
-                packed[:, 0] = nodes[a + u.row]
-                packed[:, 1], packed[:, 2] = u.first, u.size
-                rows = [(p, u.digest[i].tobytes(), packed[i, 0].tobytes(), packed[i, 1:].astype(np.uint32).tobytes()) for p, i in _dealt(u.digest, parts)]
-                c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["part", "d", "node", "place"])
+            for a, u in _units(batch, least, True):
+                for digest, row, first, size in ((u.digest, u.row, u.first, u.size), (u.window_digest, u.window_row, u.window_first, 0)):
+                    if not len(digest):
+                        continue
+                    # no words: a window
+                    packed = np.zeros((len(digest), 3), np.int64)
+                    packed[:, 0] = nodes[a + row]
+                    packed[:, 1], packed[:, 2] = first, size
+                    rows = [(p, digest[i].tobytes(), packed[i, 0].tobytes(), packed[i, 1:].astype(np.uint32).tobytes()) for p, i in _dealt(digest, parts)]
+                    c = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["part", "d", "node", "place"])
 
     def repeated(batches):
         d, node, place = [], [], []
@@ -243,13 +278,29 @@ def _occurrences(docs: DataFrame, parts: int, bits, least: int) -> DataFrame:
         if not d:
             return
         d, node, place = np.concatenate(d), np.concatenate(node), np.concatenate(place).reshape(-1, 2)
-        _, back, n = np.unique(d, return_inverse=True, return_counts=True)
-        keep = (n[back] > 1) | _in_filter(bits.value, d)
-        yield from pa.table([d[keep].view(np.int64), node[keep], place[keep, 0].astype(np.int64), place[keep, 1].astype(np.int64)], names=["d", "node", "first_word", "n_words"]).to_batches()
+        names = ["d", "node", "first_word", "n_words", "later"]
+        window = place[:, 1] == 0
+        dp, np_, pp = d[~window], node[~window], place[~window]
+        _, back, n = np.unique(dp, return_inverse=True, return_counts=True)
+        keep = (n[back] > 1) | _in_filter(bits.value, dp)
+        yield from pa.table([dp[keep].view(np.int64), np_[keep], pp[keep, 0].astype(np.int64), pp[keep, 1].astype(np.int64), pa.nulls(int(keep.sum()), pa.bool_())], names=names).to_batches(max_chunksize=100_000)
+        d, node, first = d[window], node[window], place[window, 0].astype(np.int64)
+        if not len(d):
+            return
+        order = np.argsort(d)
+        same = d[order[1:]] == d[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)]
+        order = order[np.lexsort((first[order], node[order], d[order]))]
+        d, node, first = d[order], node[order], first[order]
+        lead = np.flatnonzero(np.append(True, d[1:] != d[:-1])[: len(d)])
+        times = np.diff(np.append(lead, len(d)))
+        later = (node != np.repeat(node[lead], times)) | (first >= np.repeat(first[lead], times) + width)
+        keep = np.repeat(later[lead + times - 1], times)
+        yield from pa.table([d[keep].view(np.int64), node[keep], first[keep], np.full(int(keep.sum()), width, np.int64), later[keep]], names=names).to_batches(max_chunksize=100_000)
 
     rows = docs.select("node", "text").mapInArrow(places, "part int, d binary, node binary, place binary")
     # a frequent paragraph's occurrences are counted here once per slice, packed in one row
-    return rows.repartitionById(parts, F.col("part")).mapInArrow(repeated, "d long, node long, first_word long, n_words long")
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(repeated, "d long, node long, first_word long, n_words long, later boolean")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
@@ -266,7 +317,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bits = spark.sparkContext.broadcast(_filter(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()))
     links = written(_verified(pairs, docs, bits, threshold, least_words))
     label = components(links).select(F.col("node").alias("ld"), F.col("component").alias("lc"))
-    places = _occurrences(docs, parts, bits, least_words)
+    every = written(_occurrences(docs, parts, bits, least_words))
+    places = every.where("later is null").drop("later")
     label = label.select("ld", "lc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
     dealt = places.withColumn("s", salt)
@@ -278,7 +330,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     firsts = firsts.select(F.col("component").alias("fc"), "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     again = classed.withColumn("s", salt).join(firsts, (F.col("component") == F.col("fc")) & (F.col("s") == F.col("part")))
     again = again.withColumn("later", F.expr("node <> lead.node or first_word >= lead.first_word - lead.size"))
-    again = again.select("component", "node", "first_word", "n_words", "later")
+    again = again.select("component", "node", "first_word", "n_words", "later").unionByName(every.where("later is not null").withColumnRenamed("d", "component"))
     # neighbouring and overlapping paragraphs join into one passage; a window holds one document's paragraphs
     place = Window.partitionBy("node").orderBy("first_word")
     end = F.col("first_word") + F.col("n_words")
