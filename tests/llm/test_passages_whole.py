@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from voxelgrid.llm import _text, passages
@@ -73,3 +74,25 @@ def test_passages_inside_a_line(spark):
 
     got = reported(spark, pairs_of(make, 150))
     assert sum(got.get(2 * k + 1, 0) >= 20 for k in range(150)) >= 148
+
+
+def test_buckets_of_many_members(spark):
+    common = distinct(24, 0)
+    # two texts of a pair are alike to 0.92 or more, texts of different pairs to about 0.6
+    texts = pairs_of(lambda k: [" ".join([*common, *distinct(6, k)]), " ".join([*common, *distinct(6, k), "more"])], 400)
+    got = reported(spark, texts)
+    assert sum(got.get(2 * k + 1, 0) > 30 for k in range(400)) >= 396
+
+
+def test_cells_join_every_similar_pair(spark):
+    r = np.random.default_rng(1)
+    base = r.integers(1, 2**60, 18, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, extra, r.integers(1, 2**60, k % 2, dtype=np.uint64)])) for extra in r.integers(1, 2**60, (700, 5), dtype=np.uint64) for k in range(2)]
+    size = [len(x) for x in sets]
+    known = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "d long, s binary")
+    # one band bucket of 1400 members: a class of 300, and the others alone
+    members = spark.createDataFrame([(5, i) for i in range(len(sets))], "sig long, digest long")
+    label = spark.createDataFrame([(i, 0) for i in range(300)], "node long, component long")
+    got = {(min(x), max(x)) for x in passages._rest(members, label, known, 0.75).collect()}
+    assert all(len(np.intersect1d(sets[a], sets[b])) >= 0.75 * (size[a] + size[b] - len(np.intersect1d(sets[a], sets[b]))) for a, b in got)
+    assert {(2 * k, 2 * k + 1) for k in range(150, 700)} <= got

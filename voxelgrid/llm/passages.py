@@ -46,6 +46,10 @@ RECALL = 0.99
 FILTER_BITS = 24
 SALTS = 16
 ENTRIES_PER_TASK = 4_000_000
+#: Members of a band bucket that are compared with each other in one cell.
+CELL = 256
+#: Columns of a cell's incidence matrix at a time.
+BLOCK = 4096
 
 
 def bands(threshold: float, recall: float = RECALL, rows: int = ROWS_PER_BAND) -> int:
@@ -110,6 +114,7 @@ class Units:
         again = order[1:][own[order[1:]] == own[order[:-1]]]
         mixed[again] = 0
         self.digest = np.add.reduceat(mixed, self.starts) if len(count) else np.zeros(0, _U)
+        self.distinct = count - np.bincount(unit[again], minlength=len(count))
 
     def _windows(self, words, first_word, begin, places, size) -> None:
         """Row, first word and digest of the windows; longer gaps between places are filled with windows."""
@@ -165,7 +170,11 @@ def _dealt(key: np.ndarray, n: int):
 
 
 def _candidates(docs: DataFrame, parts: int, threshold: float, least: int) -> DataFrame:
-    """(a, b) digests of distinct paragraphs that share a band: with the group's least, and with the next."""
+    """(sig, a, b) digests of distinct paragraphs that share a band: with the group's least, and with the next.
+
+    A bucket of up to three has all its pairs among them; the members of larger ones are given
+    too, as rows (sig, digest, null).
+    """
     b_ = bands(threshold)
 
     def bands_of(batches):
@@ -183,18 +192,24 @@ def _candidates(docs: DataFrame, parts: int, threshold: float, least: int) -> Da
                 m = u.minhashes(b_ * ROWS_PER_BAND, first)
                 sig = np.concatenate([_text.mix(np.add.reduce([_text.mix(m[j * ROWS_PER_BAND + r] + _U(r)) for r in range(ROWS_PER_BAND)]) + _U(j)) for j in range(b_)])
                 own = np.tile(u.digest[first], b_)
-                rows = [(p, sig[i].tobytes(), own[i].tobytes()) for p, i in _dealt(sig, parts)]
+                size = np.tile(u.distinct[first].astype(np.uint32), b_)
+                rows = [(p, sig[i].tobytes(), own[i].tobytes(), size[i].tobytes()) for p, i in _dealt(sig, parts)]
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary())], names=["part", "sigs", "digests"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["part", "sigs", "digests", "sizes"])
 
     def pair(batches):
-        sig, digest = [], []
+        sig, digest, size = [], [], []
         for b in batches:
-            sig += [np.frombuffer(x, _U) for x in b.column(1).to_pylist()]
-            digest += [np.frombuffer(x, _U) for x in b.column(2).to_pylist()]
+            for out, k, kind in ((sig, 1, _U), (digest, 2, _U), (size, 3, np.uint32)):
+                out += [np.frombuffer(x, kind) for x in b.column(k).to_pylist()]
         if not sig:
             return
-        sig, digest = np.concatenate(sig), np.concatenate(digest)
+        sig, digest, size = np.concatenate(sig), np.concatenate(digest), np.concatenate(size)
+        # sets of too unequal sizes are not similar: where a bucket's sizes leap, no pair crosses
+        order = np.lexsort((size, sig))
+        sig, digest, size = sig[order], digest[order], size[order]
+        leap = np.append(True, (sig[1:] != sig[:-1]) | (size[:-1] < threshold * size[1:] - 1e-9))
+        sig = _text.mix(sig + np.maximum.accumulate(np.where(leap, np.arange(len(sig)), 0)).astype(_U))
         order = np.lexsort((digest, sig))
         sig, digest = sig[order], digest[order]
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (digest[1:] != digest[:-1])])
@@ -203,10 +218,16 @@ def _candidates(docs: DataFrame, parts: int, threshold: float, least: int) -> Da
         lead = digest[np.searchsorted(sig, sig[same])]
         a, b = np.concatenate([lead, digest[same - 1]]), np.concatenate([digest[same], digest[same]])
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), _U)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], names=["a", "b"])
+        _, back, n = np.unique(sig, return_inverse=True, return_counts=True)
+        large = n[back] > 3
+        none = np.zeros(pairs.shape[1], bool)
+        columns = [np.concatenate([np.zeros(pairs.shape[1], _U), sig[large]]), np.concatenate([pairs[0], digest[large]]), np.concatenate([pairs[1], digest[large]])]
+        member = np.concatenate([none, np.ones(int(large.sum()), bool)])
+        arrays = [pa.array(columns[0].view(np.int64)), pa.array(columns[1].view(np.int64)), pa.array(columns[2].view(np.int64), mask=member)]
+        yield from pa.table(arrays, names=["sig", "a", "b"]).to_batches(max_chunksize=100_000)
 
-    rows = docs.select("node", "text").mapInArrow(bands_of, "part int, sigs binary, digests binary")
-    return rows.repartitionById(parts, F.col("part")).mapInArrow(pair, "a long, b long").distinct()
+    rows = docs.select("node", "text").mapInArrow(bands_of, "part int, sigs binary, digests binary, sizes binary")
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(pair, "sig long, a long, b long")
 
 
 def _filter(digests: DataFrame) -> np.ndarray:
@@ -223,7 +244,9 @@ def _in_filter(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return (bits[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, bits, threshold: float, least: int) -> DataFrame:
+def _sets(docs: DataFrame, bits, least: int) -> DataFrame:
+    """(d, s): the shingle set of each paragraph that collides in some band."""
+
     def sets(batches):
         for batch in batches:
             for _, u in _units(batch, least):
@@ -232,6 +255,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, bits, threshold: float, least:
                 some = likely[first]
                 yield pa.RecordBatch.from_arrays([pa.array(u.digest[some].view(np.int64)), pa.array([u.set_of(i).tobytes() for i in some], pa.binary())], names=["d", "s"])
 
+    # the first set of a digest is as good as any: equal digests have equal sets
+    return docs.select("node", "text").mapInArrow(sets, "d long, s binary").groupBy("d").agg(F.min("s").alias("s"))
+
+
+def _verified(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     def similar(batches):
         for b in batches:
             good = []
@@ -241,13 +269,80 @@ def _verified(pairs: DataFrame, docs: DataFrame, bits, threshold: float, least:
                 good.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    # the first set of a digest is as good as any: equal digests have equal sets
-    known = docs.select("node", "text").mapInArrow(sets, "d long, s binary").groupBy("d").agg(F.min("s").alias("s"))
-    known = written(known)
     both = pairs.join(known.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long")
 
 
+def _joined(digest: np.ndarray, label: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of a cell that hold a similar pair; a joined pair is given once."""
+    size = np.array([len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = often[column] > 1
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column.max()) + 1 if len(column) else 0, BLOCK):
+        some = (column >= at) & (column < at + BLOCK)
+        here = np.zeros((len(sets), BLOCK), np.float32)
+        here[row[some], column[some] - at] = 1
+        both += here @ here.T
+    _, up = np.unique(label, return_inverse=True)
+    x, y = np.nonzero(np.triu(both >= threshold * (size[:, None] + size - both) - 1e-9, 1) & (up[:, None] != up))
+    links, up = [], up.copy()
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        if up[i] != up[j]:
+            up[up == up[j]] = up[i]
+            links.append((int(digest[i]), int(digest[j])))
+    return links
+
+
+def _rest(members: DataFrame, label: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of buckets that their stars left in several classes, every pair across classes compared.
+
+    A bucket's largest class is its main one; its other members are compared with it and with
+    each other, in cells of bounded size. So a large class costs rows in proportion.
+    """
+    members = members.join(label.select(F.col("node").alias("digest"), "component"), "digest", "left")
+    members = written(members.select("sig", "digest", F.coalesce("component", "digest").alias("c")))
+    size = members.groupBy("sig", "c").count()
+    size = size.groupBy("sig").agg(F.max(F.struct("count", "c")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    size = size.select("sig", F.col("main.c").alias("main"), F.ceil(F.col("main.count") / CELL).alias("mains"), F.ceil((F.col("n") - F.col("main.count")) / CELL).alias("rests"), F.col("n") <= CELL)
+    size = size.toDF("sig", "main", "mains", "rests", "small")
+    dealt = members.join(size, "sig")
+    h = F.xxhash64("digest")
+    of_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda r: F.struct(r.alias("x"), F.lit(True).alias("m"), F.pmod(h, F.col("mains")).alias("y")))
+    own = F.pmod(h, F.col("rests"))
+    with_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mains") - 1), lambda m: F.struct(own.alias("x"), F.lit(True).alias("m"), m.alias("y")))
+    with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda r: F.struct(F.least(own, r).alias("x"), F.lit(False).alias("m"), F.greatest(own, r).alias("y")))
+    zero = F.lit(0).cast("long")
+    cells = F.when(F.col("small"), F.array(F.struct(zero.alias("x"), F.lit(True).alias("m"), zero.alias("y")))).when(F.col("c") == F.col("main"), of_main).otherwise(F.concat(with_main, with_rest))
+    dealt = dealt.select("digest", "c", "sig", F.explode(cells).alias("cell")).select("digest", "c", F.xxhash64("sig", "cell.x", "cell.m", "cell.y").alias("cell"))
+    rows = dealt.join(known.select(F.col("d").alias("digest"), "s"), "digest").repartition(tasks_for(members.sparkSession), "cell").sortWithinPartitions("cell")
+
+    def compared(batches):
+        def links(group):
+            d, c, x = zip(*group, strict=True)
+            return _joined(np.array(d, np.int64), np.array(c, np.int64), [np.frombuffer(s, _U) for s in x], threshold) if len(set(c)) > 1 else []
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        last, group = None, []
+        for b in batches:
+            found = []
+            for d, c, cell, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if cell != last and group:
+                    found += links(group)
+                    group = []
+                last = cell
+                group.append((d, c, x))
+            yield out(found)
+        if group:
+            yield out(links(group))
+
+    return rows.select("digest", "c", "cell", "s").mapInArrow(compared, "a long, b long")
+
+
 def _occurrences(docs: DataFrame, parts: int, bits, least: int) -> DataFrame:
     """(d, node, first_word, n_words, later) of paragraphs that occur twice or may be similar to another, and of windows that occur twice.
 
@@ -313,10 +408,16 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs, _ = identified(docs, id_col, text_col)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(tasks_for(spark), math.ceil(size / 90 * bands(threshold) / ENTRIES_PER_TASK))
-    pairs = written(_candidates(docs, parts, threshold, least_words))
+    collided = written(_candidates(docs, parts, threshold, least_words))
+    pairs, members = collided.where("b is not null").select("a", "b").distinct(), collided.where("b is null").select("sig", F.col("a").alias("digest"))
     bits = spark.sparkContext.broadcast(_filter(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()))
-    links = written(_verified(pairs, docs, bits, threshold, least_words))
-    label = components(links).select(F.col("node").alias("ld"), F.col("component").alias("lc"))
+    known = written(_sets(docs, bits, least_words))
+    links = written(_verified(pairs, known, threshold))
+    label = written(components(links))
+    more = written(_rest(members, label, known, threshold))
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
+    label = label.select(F.col("node").alias("ld"), F.col("component").alias("lc"))
     every = written(_occurrences(docs, parts, bits, least_words))
     places = every.where("later is null").drop("later")
     label = label.select("ld", "lc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
