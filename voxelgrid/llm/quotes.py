@@ -6,12 +6,13 @@ wrote themselves; a message replies to the message that it quotes most (the late
 A message without a known quote replies to the one of the turn before. Quotes are dropped.
 
 A message that answers the turn before continues a run; any other begins one. Reply order
-visits a message, then what continues it, then its other replies by turn. It is given as a
-sort key: ``path`` (the branch points on the way to the run) and ``turn``.
+visits a message, then what continues it, then its other replies by turn. It is given as
+``position`` in the conversation, from 0, and as a sort key: ``path`` (the branch points on
+the way to the run, in hexadecimal digits of fixed width that sort as text) and ``turn``.
 
 Contracts
-* rows with a null conversation or turn have no parent and an empty path; null text stays null.
-* rows that repeat a conversation and turn share parent and path.
+* rows with a null conversation or turn have no parent, no position and an empty path; null text stays null.
+* rows that repeat a conversation and turn share parent, path and position.
 * a message whose quotes are all its text keeps an empty text. Other columns pass through.
 """
 
@@ -21,7 +22,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +71,7 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def reply_order(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """The messages without quotes, with parent_turn, depth_quoted, run_start and path."""
+    """The messages without quotes, with parent_turn, run_start, path and position."""
     rows = written(parsed(messages.withColumns({"_c": F.col(conv_col), "_t": F.col(turn_col).cast("long")}), text_col))
     keyed = rows.where("_c is not null and _t is not null")
     lines = keyed.select("_c", "_t", F.explode("lines").alias("l")).select("_c", "_t", "l.level", "l.h").distinct()
@@ -99,7 +100,7 @@ def reply_order(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     heads = links.join(jump, ["_c", "_t"]).where("_t = start")
     up = jump.select(F.col("_c").alias("c"), F.col("_t").alias("t"), F.col("start").alias("above"))
     runs = heads.join(up, (F.col("_c") == F.col("c")) & (F.col("parent") == F.col("t")), "left")
-    point = F.struct((-F.col("parent")).alias("after"), F.col("_t").alias("turn"))
+    point = F.struct(F.bitwise_not("parent").alias("after"), F.col("_t").alias("turn"))
     runs = written(runs.select("_c", F.col("_t").alias("start"), "above", F.when(F.col("above").isNotNull(), F.array(point)).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("after"), F.col("_t").alias("turn")))).alias("path")))
     while True:
         on = runs.select(F.col("_c").alias("c"), F.col("start").alias("t"), F.col("above").alias("next"), F.col("path").alias("more"))
@@ -107,8 +108,10 @@ def reply_order(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
         if runs.where("above is not null").isEmpty():
             break
     placed = links.join(jump, ["_c", "_t"]).join(runs.drop("above"), ["_c", "start"])
-    placed = placed.select(F.col("_c").alias("c"), F.col("_t").alias("t"), "parent", "start", "path")
+    digits = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    path = F.array_join(F.transform("path", lambda p: F.concat_ws(":", digits(p["after"]), digits(p["turn"]))), "/")
+    placed = placed.select(F.col("_c").alias("c"), F.col("_t").alias("t"), "parent", "start", path.alias("path"))
+    placed = placed.withColumn("position", F.row_number().over(Window.partitionBy("c").orderBy("path", "t")) - 1)
     out = rows.join(placed, (F.col("_c") == F.col("c")) & (F.col("_t") == F.col("t")), "left")
     kept = [c for c in messages.columns if c != text_col]
-    path = F.transform(F.coalesce("path", F.array().cast("array<struct<after:bigint,turn:bigint>>")), lambda p: F.concat_ws(":", p["after"].cast("string"), p["turn"].cast("string")))
-    return out.select(*kept, F.col("own").alias(text_col), F.col("parent").alias("parent_turn"), F.col("start").alias("run_start"), F.array_join(path, "/").alias("path"))
+    return out.select(*kept, F.col("own").alias(text_col), F.col("parent").alias("parent_turn"), F.col("start").alias("run_start"), F.coalesce("path", F.lit("")).alias("path"), "position")
