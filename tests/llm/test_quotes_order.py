@@ -34,3 +34,21 @@ def test_order_of_branches(spark):
         assert [r.turn for r in sorted(mine, key=lambda r: r.position)] == want
         assert [r.turn for r in sorted(mine, key=lambda r: (r.path, r.turn))] == want
         assert sorted(r.position for r in mine) == list(range(len(p)))
+
+
+def test_short_wrapped_and_partial_quotes(spark):
+    long = "The first thing to say is short. The second one is rather longer and was wrapped. Is there a third?"
+    said = ["Why?", "Yes.", long, "A plain remark without an end that\ngoes over two lines", "Something else."]
+    replies = {
+        5: ("> Why?\nBecause.", 0),
+        6: ("> Yes.\nGood.", 1),
+        7: ("> The first thing to say is short. The second one\n> is rather longer and was wrapped. Is there\n> a third?\nNo.", 2),
+        8: ("> The second one is rather\n> longer and was wrapped.\nIt was.", 2),
+        9: ("> A plain remark without an\n> end that goes over two lines\nIndeed.", 3),
+        10: ("> ...\nNothing quoted.", 9),
+    }
+    rows = [(1, t, x) for t, x in enumerate(said)] + [(1, t, x) for t, (x, _) in replies.items()]
+    rows += [(2, 0, "No."), (2, 1, "Maybe."), (2, 2, "> Yes.\nNot said here.")]
+    got = {(r.conv_id, r.turn): r.parent_turn for r in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert {t: got[1, t] for t in replies} == {t: p for t, (_, p) in replies.items()}
+    assert got[2, 2] == 1

@@ -1,8 +1,10 @@
 """Conversations in reply order, from quotations.
 
-Lines that begin with ``>`` marks are quotes; the marks give the level. Hashes of normalised
-quoted lines are joined with those of the lines that earlier messages of the conversation
-wrote themselves; a message replies to the message that it quotes most (the latest of these).
+Lines that begin with ``>`` marks are quotes; the marks give the level. Neighbouring lines of
+one level are a passage. Hashes of normalised passages, of their paragraphs and sentences
+(both whatever their line breaks) and lines are joined with those of what earlier messages of
+the conversation wrote themselves; a message replies to the message that it quotes most (the
+latest of these). Short ones count as well as long ones, where they have a letter or digit.
 A message without a known quote replies to the one of the turn before. Quotes are dropped.
 
 A message that answers the turn before continues a run; any other begins one. Reply order
@@ -19,6 +21,7 @@ Contracts
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -29,8 +32,8 @@ from pyspark.sql import types as T
 from ._store import written
 
 _MARKS = re.compile(r"^\s*((?:>\s?)+)")
-#: Letters and digits that a quoted line needs to be looked for.
-LEAST_CHARACTERS = 8
+_SENTENCE = re.compile(r"(?<=[.!?\u3002\uff01\uff1f])[\"')\]\u201d\u2019]*\s+|(?<=[\u3002\uff01\uff1f])")
+_BLANK = re.compile(r"\n\s*\n")
 LINE = "array<struct<level:int,h:bigint>>"
 
 
@@ -47,8 +50,21 @@ def normalised(line: str) -> str:
     return "".join(c for c in line.casefold() if c.isalnum())
 
 
+def pieces(levels: list[tuple[int, str]]) -> set[tuple[int, str]]:
+    """(level, normalised text) of the passages, paragraphs, sentences and lines."""
+    out = set()
+    for level, run in groupby(levels, key=lambda x: x[0]):
+        passage = "\n".join(x for _, x in run)
+        out.add((level, normalised(passage)))
+        out.update((level, normalised(x)) for x in passage.split("\n"))
+        for paragraph in _BLANK.split(passage):
+            out.add((level, normalised(paragraph)))
+            out.update((level, normalised(x)) for x in _SENTENCE.split(paragraph))
+    return {(level, k) for level, k in out if k}
+
+
 def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``own`` (the text without quotes) and ``lines`` (level and hash of each usable line)."""
+    """Adds ``own`` (the text without quotes) and ``lines`` (level and hash of each passage, paragraph, sentence and line)."""
     schema = T.StructType([*messages.schema.fields, T.StructField("own", T.StringType()), T.StructField("lines", T._parse_datatype_string(LINE))])
 
     def run(batches):
@@ -62,8 +78,7 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
                 levels = parse_levels(text)
                 quoted = any(level for level, _ in levels)
                 own.append("\n".join(x for level, x in levels if not level).strip("\n") if quoted else text)
-                keys = ((level, normalised(x)) for level, x in levels)
-                lines.append(list({(level, xxhash.xxh64_intdigest(k) - 2**63) for level, k in keys if len(k) >= LEAST_CHARACTERS}))
+                lines.append([(level, xxhash.xxh64_intdigest(k) - 2**63) for level, k in pieces(levels)])
             values = pa.array([[{"level": a, "h": h} for a, h in x] for x in lines], pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.string()), values], names=[*b.schema.names, "own", "lines"])
 
