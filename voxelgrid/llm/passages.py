@@ -15,7 +15,8 @@ Contracts
 * null or empty text has no paragraphs; paragraphs of under ``least_words`` words (5 at least) take part in windows only.
 * repeated stretches of under ``least_passage`` words in a row are left alone.
 * occurrences are ordered by id, then place; repeated ids are numbered anew (``_store.identified``).
-* extra columns of the input are ignored.
+* extra columns of the input are ignored; an empty table gives no rows. Repeated rows are
+  repeats of each other: all but the first go.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._components import components
-from ._store import identified, tasks_for, written
+from ._store import drop, identified, tasks_for, written
 
 _U = np.uint64
 SHINGLE = 5
@@ -401,8 +402,9 @@ def _occurrences(docs: DataFrame, parts: int, bits, least: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, least_words: int = LEAST_WORDS, least_passage: int = LEAST_PASSAGE) -> DataFrame:
     """One row per repeated passage of a document: id, first word, number of words, component, removed.
 
-    ``component`` is the smallest class of its paragraphs; ``removed`` is false where all of
-    them are first occurrences.
+    ``component`` is the smallest class of its paragraphs and windows. Later occurrences join
+    into passages that are ``removed``, first ones into passages that stay, so that of two
+    repeats side by side only the later one goes. Every word that goes stands in an earlier place.
     """
     spark = docs.sparkSession
     docs, _ = identified(docs, id_col, text_col)
@@ -416,7 +418,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     label = written(components(links))
     more = written(_rest(members, label, known, threshold))
     if not more.isEmpty():
-        label = components(links.unionByName(more))
+        drop(label)
+        label = written(components(links.unionByName(more)))
+    drop(collided, known, links, more)
     label = label.select(F.col("node").alias("ld"), F.col("component").alias("lc"))
     every = written(_occurrences(docs, parts, bits, least_words))
     places = every.where("later is null").drop("later")
@@ -433,29 +437,30 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     again = again.withColumn("later", F.expr("node <> lead.node or first_word >= lead.first_word - lead.size"))
     again = again.select("component", "node", "first_word", "n_words", "later").unionByName(every.where("later is not null").withColumnRenamed("d", "component"))
     # neighbouring and overlapping paragraphs join into one passage; a window holds one document's paragraphs
-    place = Window.partitionBy("node").orderBy("first_word")
+    place = Window.partitionBy("node", "later").orderBy("first_word")
     end = F.col("first_word") + F.col("n_words")
     gap = F.when(F.col("first_word") <= F.max(end).over(place.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
     runs = again.withColumn("gap", gap).withColumn("run", F.sum("gap").over(place))
-    found = runs.groupBy("node", "run").agg(F.min("first_word").alias("first_word"), (F.max(end) - F.min("first_word")).alias("n_words"), F.min("component").alias("component"), F.bool_or("later").alias("removed"))
+    found = runs.groupBy("node", F.col("later").alias("removed"), "run").agg(F.min("first_word").alias("first_word"), (F.max(end) - F.min("first_word")).alias("n_words"), F.min("component").alias("component"))
     found = found.where(F.col("n_words") >= least_passage).drop("run")
     named = docs.select("node", F.col("id").alias(id_col))
     return found.join(named, "node").select(id_col, "node", "first_word", "n_words", "component", "removed")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (of unique ids) with the words of removed passages cut out of the texts."""
+    """``docs`` (of unique ids) with the words of removed passages cut out of the texts; all columns pass through."""
     import re
 
-    spans = passages.where("removed").groupBy(F.col(id_col).alias("pid")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
+    key, spans = (next(f"{name}{k}" for k in range(len(docs.columns) + 1) if f"{name}{k}" not in docs.columns) for name in ("id_", "spans_"))
+    cut = passages.where("removed").groupBy(F.col(id_col).alias(key)).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(spans))
     schema = docs.schema
-    rows = docs.join(spans, F.col(id_col) == F.col("pid"), "left").drop("pid")
+    rows = docs.join(cut, docs[id_col] == cut[key], "left").drop(key)
 
     def run(batches):
         word = re.compile(rb"[^\x20\x09-\x0D]+")
         for b in batches:
             texts = []
-            for text, cuts in zip(b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
+            for text, cuts in zip(b.column(b.schema.get_field_index(text_col)).to_pylist(), b.column(b.schema.get_field_index(spans)).to_pylist(), strict=True):
                 if text and cuts:
                     raw = text.encode()
                     at = [m.span() for m in word.finditer(raw)]
