@@ -7,15 +7,20 @@ extended in both directions while they outweigh the substitutions.
 
 Contracts
 * null or empty texts and items have no overlap; neither have items of under ``least`` words.
-* an item shorter than the masks' span must occur word for word.
-* repeated items are reported under each of their ids; null ids stay null.
+* an item shorter than the longest mask must occur word for word.
+* each disjoint overlap of a text with an item is reported; of those that share words the one
+  with the most matches, at a tie the one found first.
+* repeated items are reported under each of their ids; null ids stay null. Rows stand for
+  themselves: repeated rows and ids give repeated results, empty tables none.
 * the benchmark is handed to the tasks in parts of a bounded number of words; a larger
-  benchmark takes more passes over the texts, never a cut.
+  benchmark takes more passes over the texts, one after the other, never a cut.
 * all columns pass through; a column that has the output's name is replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,10 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
+from ._store import written
+from ._worker import kept
 
 _U = np.uint64
-#: Places looked at. Any two substitutions within 13 words, more than 6 apart or not, miss one of them.
-MASKS = ("1110110110011", "1101001111011", "1011110011101", "1110010111101")
+#: Places looked at. Every overlap of 12 to 20 words that is accepted below, wherever its
+#: substitutions are, has a place where one of these masks looks at none of them (a test counts
+#: them all); longer ones have many more places.
+MASKS = ("11101011", "1100100001011", "11010001011", "1111011", "1110010011", "101000011011", "111001010001")
 SPAN = 13
 LEAST_WORDS = 8
 #: Matching words that make an overlap, and the share of matches in it.
@@ -76,9 +85,9 @@ class Seeds:
         self.tables.append((mask, hashes[order], at[order], filter_))
 
     def overlaps(self, words: np.ndarray, bounds: np.ndarray) -> list[list[tuple]]:
-        """Per row: (item id, matches, first word, last word) of the best overlap with each item."""
-        found: list[dict[int, tuple]] = [{} for _ in range(len(bounds) - 1)]
-        tried: set[tuple[int, int, int]] = set()
+        """Per row: (item id, matches, first word, last word) of the disjoint overlaps with each item."""
+        found: list[dict[int, list[tuple]]] = [{} for _ in range(len(bounds) - 1)]
+        tried: dict[tuple[int, int, int], int] = {}
         for mask, keys, places, filter_ in self.tables:
             if not len(keys) or len(words) < len(mask):
                 continue
@@ -94,15 +103,18 @@ class Seeds:
                 for place in places[a:z].tolist():
                     item = int(self.item[place])
                     key = (row, item, i - place)
-                    best = found[row].get(item)
-                    # an alignment is extended once, unless the hit lies outside of what it gave
-                    if key in tried and best is not None and best[1] <= i - bounds[row] <= best[2]:
+                    # an alignment is extended once for the words that it reached
+                    if tried.get(key, -1) >= i:
+                        continue
+                    got, reached = self._extend(words, int(bounds[row]), int(bounds[row + 1]), i, place, item, len(mask))
+                    tried[key] = max(reached, tried.get(key, -1))
+                    if not got:
                         continue
-                    tried.add(key)
-                    got = self._extend(words, int(bounds[row]), int(bounds[row + 1]), i, place, item, len(mask))
-                    if got and (best is None or got[0] > best[0]):
-                        found[row][item] = got
-        return [[(self.ids[k], *v) for k, v in sorted(one.items())] for one in found]
+                    one = found[row].setdefault(item, [])
+                    shared = [x for x in one if got[1] <= x[2] and x[1] <= got[2]]
+                    if all(got[0] > x[0] for x in shared):
+                        one[:] = [*(x for x in one if x not in shared), got]
+        return [[(self.ids[k], *v) for k, vs in sorted(one.items()) for v in sorted(vs, key=lambda x: x[1])] for one in found]
 
     def _extend(self, words, first, last, i, place, item, span):
         lo, hi = int(self.bounds[item]), int(self.bounds[item + 1])
@@ -115,9 +127,10 @@ class Seeds:
         a = left - _reach(before)
         matches = int(same[a:z].sum())
         need = LEAST_MATCHES if hi - lo >= SPAN else hi - lo
+        reached = i - left + z - 1
         if matches < need or matches < SHARE * (z - a):
-            return None
-        return matches, i - left + a - first, i - left + z - 1 - first
+            return None, reached
+        return (matches, i - left + a - first, reached - first), reached
 
 
 def _reach(sums: np.ndarray) -> int:
@@ -154,12 +167,17 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str):
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "overlaps") -> DataFrame:
     """Adds an array of the overlaps with benchmark items, empty for clean documents."""
     schema = T.StructType([f for f in docs.schema if f.name != out] + [T.StructField(out, OVERLAP)])
-    docs = docs.withColumn(out, F.array().cast(OVERLAP))
-    for ids, words, bounds in _parts(benchmark, item_col, item_text_col):
-        part = docs.sparkSession.sparkContext.broadcast((ids, words, bounds))
-
-        def run(batches, part=part):
-            seeds = Seeds(*part.value)
+    docs = docs.withColumn(out, F.array().cast(OVERLAP)).select(*[c for c in docs.columns if c != out], out)
+    part = None
+    for packed in _parts(benchmark, item_col, item_text_col):
+        if part is not None:
+            # one part's table at a time: the pass before ends, and its part goes
+            before, docs = part, written(docs)
+            before.unpersist()
+        part = docs.sparkSession.sparkContext.broadcast(packed)
+
+        def run(batches, part=part, key=("seeds", uuid.uuid4().hex)):
+            seeds = kept(key, lambda: Seeds(*part.value))
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
             for b in batches:
                 data, offsets = _text.arrow_bytes(b.column(b.schema.get_field_index(text_col)))
@@ -172,5 +190,5 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                 names = [n for n in b.schema.names if n != out]
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), values], names=[*names, out])
 
-        docs = docs.select(*[c for c in docs.columns if c != out], out).mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema)
     return docs
