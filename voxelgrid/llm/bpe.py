@@ -11,6 +11,7 @@ Contracts
 * strings of added tokens (``<|endoftext|>``) in a text become their id, as the library does.
 * ids are packed in a binary column as little-endian unsigned 32-bit integers.
 * all other columns pass through; a column that has the output's name is replaced.
+* rows stand for themselves: repeated rows and ids give repeated results, empty tables none.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pre-tokens kept per worker; the table is emptied when it is full.
-KEPT_WORDS = 400_000
+from ._worker import kept
+
+#: Bytes of pre-tokens kept per worker, about; the table is emptied when it is full.
+KEPT_BYTES = 64 << 20
+#: Bytes of an entry beside its characters and ids, and characters from which a pre-token is not kept.
+ENTRY_BYTES, LONG_WORD = 200, 1000
 #: Characters from which a text's pre-tokens are not listed at once.
 LONG_TEXT = 1_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,13 +54,16 @@ class _Words(dict):
 
     def __init__(self, merge):
         super().__init__()
-        self.merge = merge
+        self.merge, self.room = merge, KEPT_BYTES
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
         ids = np.array(self.merge(word.encode()), "<u4").tobytes()
-        self[word] = ids
+        if len(word) < LONG_WORD:
+            self.room -= ENTRY_BYTES + len(word) + len(ids)
+            if self.room < 0:
+                self.clear()
+                self.room = KEPT_BYTES
+            self[word] = ids
         return ids
 
 
@@ -151,35 +159,55 @@ class Bpe:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
     """The model of a file, kept by the worker process across tasks."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return kept(("bpe", path), lambda: Bpe(path))
 
 
-def _with_column(df: DataFrame, source: str, out: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
-    schema = T.StructType([f for f in df.schema if f.name != out] + [T.StructField(out, kind)])
+def _with_columns(df: DataFrame, source: str, outs: dict[str, T.DataType], make) -> DataFrame:
+    schema = T.StructType([f for f in df.schema if f.name not in outs] + [T.StructField(k, v) for k, v in outs.items()])
+    kinds = [pa.binary() if isinstance(v, T.BinaryType) else pa.string() for v in outs.values()]
 
     def run(batches):
         one = make()
         for b in batches:
-            column = b.column(b.schema.get_field_index(source))
-            values = pa.array((one(x.as_py()) for x in column), arrow)
-            names = [n for n in b.schema.names if n != out]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), values], names=[*names, out])
+            values = list(zip(*(one(x.as_py()) for x in b.column(b.schema.get_field_index(source))), strict=True)) or [()] * len(outs)
+            names = [n for n in b.schema.names if n not in outs]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *map(pa.array, values, kinds)], names=[*names, *outs])
 
     return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, *, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Adds the packed ids of ``text_col``. ``path`` is read on each worker."""
-    return _with_column(df, text_col, out, T.BinaryType(), pa.binary(), lambda: load(path).encode)
+
+    def make():
+        model = load(path)
+        return lambda text: (model.encode(text),)
+
+    return _with_columns(df, text_col, {out: T.BinaryType()}, make)
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of packed ids."""
-    return _with_column(df, ids_col, out, T.StringType(), pa.string(), lambda: load(path).decode)
+
+    def make():
+        model = load(path)
+        return lambda ids: (model.decode(ids),)
+
+    return _with_columns(df, ids_col, {out: T.StringType()}, make)
+
+
+def encode_and_decode(df: DataFrame, path: str, *, text_col: str = "text", ids_out: str = "ids", decoded_out: str = "decoded") -> DataFrame:
+    """Adds the packed ids and the text that they decode to, in one pass of one worker for each task."""
+
+    def make():
+        model = load(path)
+
+        def both(text):
+            ids = model.encode(text)
+            return ids, model.decode(ids)
+
+        return both
+
+    return _with_columns(df, text_col, {ids_out: T.BinaryType(), decoded_out: T.StringType()}, make)

@@ -5,9 +5,12 @@ longest known character n-grams that cover it, from the longest length down to s
 characters, each shorter step at a cost.
 
 Contracts
-* the model is fitted on at most about ``rows_per_language`` labelled rows of each language
-  (chosen by a hash of the text); prediction uses the whole text and nothing else.
+* the model is fitted on at most about ``rows_per_language`` distinct labelled texts of each
+  language (chosen by a hash of the text, copies once); prediction uses the whole text and
+  nothing else. It has words and n-grams as 64-bit hashes in sorted arrays.
 * null text, or text without a letter: ``und`` with score 0. Without any labelled row: ``und``.
+* languages that score alike: the first in sorted order. Rows stand for themselves: repeated
+  rows and ids give repeated results, empty tables none.
 * all columns pass through; columns that have an output's name are replaced.
 """
 
@@ -19,16 +22,22 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._worker import kept
+
 ROWS_PER_LANGUAGE = 1500
 GRAM = 5
 #: Words whose evidence counts in a score; more evidence does not make it surer.
 SURE = 12
 BACK_OFF = 0.4
-KEPT_WORDS = 400_000
+#: Chunks kept by a worker, and chunks of a text that are looked up together (fewer than those kept).
+KEPT_WORDS, CHUNKS_AT_ONCE = 200_000, 50_000
+#: Characters of short texts whose chunks are looked up together.
+CHARACTERS_AT_ONCE = 200_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -42,12 +51,14 @@ def _grams(word: str):
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", use: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE, least: int = 2) -> dict:
     """The model: languages, and a vector of log frequencies for each word and n-gram."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if use is None else use))
-    totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(totals)
     if not languages:
-        return {"key": uuid.uuid4().hex, "languages": [], "words": {}, "grams": {}}
+        none = _table([], np.zeros((0, 0), np.float32))
+        return {"key": uuid.uuid4().hex, "languages": [], "words": none, "grams": none}
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / totals[k]))))
-    drawn = rows.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).distinct()
 
     def count(batches):
         words: dict[tuple, int] = Counter()
@@ -58,37 +69,58 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", use:
         if words:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in words]), pa.array([k[1] for k in words]), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = drawn.select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(count, "lang string, word string, n long")
+    counted = drawn.mapInArrow(count, "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     at = {k: i for i, k in enumerate(languages)}
-    words: dict[str, np.ndarray] = {}
-    grams: dict[str, np.ndarray] = {}
+    words: dict[str, list[float]] = {}
+    grams: dict[str, list[float]] = {}
     for lang, word, n in zip(*(c.to_pylist() for c in counted.columns), strict=True):
+        k = at[lang]
         if word not in words:
-            words[word] = np.zeros(len(languages), np.float32)
-        words[word][at[str(lang)]] += n
+            words[word] = [0.0] * len(languages)
+        words[word][k] += n
         for g in _grams(word):
             if g not in grams:
-                grams[g] = np.zeros(len(languages), np.float32)
-            grams[g][at[str(lang)]] += min(n, 20)
-    grams = {g: c for g, c in grams.items() if c.sum() > 2}
-    word_total = np.sum(list(words.values()), axis=0, dtype=np.float64) if words else np.ones(len(languages))
-    gram_total = [np.ones(len(languages))] * (GRAM + 1)
+                grams[g] = [0.0] * len(languages)
+            grams[g][k] += min(n, 20)
+    w, g = list(words), [x for x, c in grams.items() if sum(c) > 2]
+    counts, of_grams = (np.array([table[x] for x in names], np.float64).reshape(-1, len(languages)) for table, names in ((words, w), (grams, g)))
+    size = np.array([len(x) for x in g], np.int64)
+    total = np.ones((GRAM + 1, len(languages)))
     for n in range(1, GRAM + 1):
-        some = [c for g, c in grams.items() if len(g) == n]
-        gram_total[n] = np.sum(some, axis=0, dtype=np.float64) + 1 if some else gram_total[n]
+        total[n] += of_grams[size == n].sum(axis=0)
     return {
         "key": uuid.uuid4().hex,
         "languages": languages,
-        "words": {w: _log(c, word_total, len(words)) for w, c in words.items()},
-        "grams": {g: _log(c, gram_total[len(g)], len(grams)) for g, c in grams.items()},
+        "words": _table(w, _log(counts, counts.sum(axis=0), len(w))),
+        "grams": _table(g, _log(of_grams, total[size], len(g))),
     }
 
 
 def _log(counts: np.ndarray, total: np.ndarray, kinds: int) -> np.ndarray:
     """Log frequencies, relative to the mean over the languages and bounded."""
     v = np.log((counts + 0.1) / (total + 0.1 * kinds))
-    return np.clip(v - v.mean(), -4, 4).astype(np.float32)
+    return np.clip(v - v.mean(axis=1, keepdims=True), -4, 4).astype(np.float32)
+
+
+def _hashes(names: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
+
+
+def _table(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the names, and their rows of values."""
+    keys = _hashes(names)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _rows(table: tuple[np.ndarray, np.ndarray], names: list[str]) -> np.ndarray:
+    """The row of each name in a table, or -1."""
+    keys, asked = table[0], _hashes(names)
+    if not len(keys):
+        return np.full(len(names), -1)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, at, -1)
 
 
 class _Scores(dict):
@@ -99,52 +131,67 @@ class _Scores(dict):
         self.model = model
         self.table = np.zeros((1024, len(model["languages"]) + 1), np.float32)
 
-    def word(self, w: str) -> np.ndarray:
-        v = self.model["words"].get(w)
-        if v is not None:
-            return v
-        grams, text, i, n, out = self.model["grams"], f"^{w}$", 0, 0, 0.0
-        while i < len(text):
-            for k in range(min(GRAM, len(text) - i), 0, -1):
-                v = grams.get(text[i : i + k])
-                if v is not None:
-                    out = out + v * (1 - BACK_OFF * (GRAM - k) / GRAM)
+    def _backed_off(self, words: list[str]) -> np.ndarray:
+        """Mean over the longest known n-grams that cover each word."""
+        framed = [f"^{w}$" for w in words]
+        pieces = [t[i : i + k] for t in framed for i in range(len(t)) for k in range(1, min(GRAM, len(t) - i) + 1)]
+        found = _rows(self.model["grams"], pieces).tolist()
+        values, out, at = self.model["grams"][1], np.zeros((len(words), self.table.shape[1] - 1), np.float32), 0
+        for row, t in enumerate(framed):
+            first = [0]
+            for i in range(len(t)):
+                first.append(first[-1] + min(GRAM, len(t) - i))
+            i, n = 0, 0
+            while i < len(t):
+                k = next((k for k in range(first[i + 1] - first[i], 0, -1) if found[at + first[i] + k - 1] >= 0), 0)
+                if k:
+                    out[row] += values[found[at + first[i] + k - 1]] * (1 - BACK_OFF * (GRAM - k) / GRAM)
                     n += 1
-                    break
-            i += max(1, k - 1) if v is not None else 1
-        return out / n if n else np.zeros(len(self.model["languages"]), np.float32)
-
-    def __missing__(self, chunk: str) -> int:
-        row = len(self)
-        if row >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for w in _LETTERS.findall(chunk.lower()):
-            self.table[row, :-1] += self.word(w)
-            self.table[row, -1] += 1
-        self[chunk] = row
-        return row
-
-
-_kept: list[_Scores] = []
+                i += max(1, k - 1)
+            out[row] /= max(1, n)
+            at += first[-1]
+        return out
+
+    def learn(self, chunks: list[str]) -> None:
+        """Adds chunks that are not known yet."""
+        if len(self) + len(chunks) > KEPT_WORDS:
+            self.clear()
+            self.table = np.zeros((1024, self.table.shape[1]), np.float32)
+        words = [_LETTERS.findall(c.lower()) for c in chunks]
+        kinds = sorted({w for x in words for w in x})
+        row = _rows(self.model["words"], kinds)
+        values = np.zeros((len(kinds), self.table.shape[1] - 1), np.float32)
+        values[row >= 0] = self.model["words"][1][row[row >= 0]]
+        values[row < 0] = self._backed_off([kinds[i] for i in np.flatnonzero(row < 0)])
+        place = {w: i for i, w in enumerate(kinds)}
+        start, need = len(self), len(self) + len(chunks)
+        if need > len(self.table):
+            more = np.zeros((max(need, len(self.table) * 3 // 2), self.table.shape[1]), np.float32)
+            more[: len(self.table)] = self.table
+            self.table = more
+        own = np.repeat(np.arange(start, need), [len(x) for x in words])
+        np.add.at(self.table[:, :-1], own, values[[place[w] for x in words for w in x]])
+        self.table[start:need, -1] = [len(x) for x in words]
+        self.update(zip(chunks, range(start, need), strict=True))
 
 
 def _scores(model: dict) -> _Scores:
     """The worker's table for this model; tasks of one job share it."""
-    if not _kept or _kept[0].model["key"] != model["key"]:
-        _kept[:] = [_Scores(model)]
-    return _kept[0]
+    return kept(("language", model["key"]), lambda: _Scores(model))
 
 
 def _predict(scores: _Scores, text: str | None) -> tuple[str, float]:
     languages = scores.model["languages"]
     chunks = (text or "").split()
     total = np.zeros(len(languages) + 1)
-    for at in range(0, len(chunks), 100_000):
-        if len(scores) > KEPT_WORDS:
-            scores.clear()
-            scores.table[:] = 0
-        rows = [scores[c] for c in chunks[at : at + 100_000]]
-        total += scores.table[rows].sum(axis=0, dtype=np.float64)
+    for at in range(0, len(chunks), CHUNKS_AT_ONCE):
+        some = chunks[at : at + CHUNKS_AT_ONCE]
+        new = set(some).difference(scores)
+        if new:
+            scores.learn(sorted(new))
+            if not scores.keys() >= set(some):  # the table was emptied
+                scores.learn(sorted(set(some).difference(scores)))
+        total += scores.table[[scores[c] for c in some]].sum(axis=0, dtype=np.float64)
     words = total[-1]
     if not words or not languages:
         return "und", 0.0
@@ -154,6 +201,20 @@ def _predict(scores: _Scores, text: str | None) -> tuple[str, float]:
     return languages[best], float(p[best] / p.sum())
 
 
+def _together(column):
+    """Texts in groups of a bounded number of characters; one that has more is alone."""
+    group, size = [], 0
+    for x in column:
+        text = x.as_py()
+        if group and size + len(text or "") > CHARACTERS_AT_ONCE:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
+
+
 def identify(docs: DataFrame, model: dict, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Adds the predicted language and its score."""
     outs = (lang_out, score_out)
@@ -163,7 +224,12 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", lang_out:
     def run(batches):
         scores = _scores(shared.value)
         for b in batches:
-            found = [_predict(scores, x.as_py()) for x in b.column(b.schema.get_field_index(text_col))]
+            found = []
+            for texts in _together(b.column(b.schema.get_field_index(text_col))):
+                new = {c for t in texts for c in (t or "").split()}.difference(scores) if len(texts) > 1 else ()
+                if new:
+                    scores.learn(sorted(new))
+                found += [_predict(scores, t) for t in texts]
             names = [n for n in b.schema.names if n not in outs]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(b.schema.get_field_index(n)) for n in names), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],

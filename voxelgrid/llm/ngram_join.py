@@ -11,11 +11,16 @@ document whose free signatures already cover H + 1 has no partner. Documents tha
 large groups are indexed again over a finer partition. What is left are small sets of candidate
 groups, whose members are compared by bitmaps and verified on the whole sets.
 
+Of each group the members outside of its largest component are compared with all members, in
+cells of bounded size, and each gives the few closest ones of other components; pairs that
+lie in one component by then are not looked at again, so a group of near copies gives links
+in proportion to its members. More are given where those prove wrong, until none is held back.
+
 Contracts
 * null or wordless text: an empty set, linked with nothing, component of its own.
-* equal sets are collapsed to one class first, so copies cost nothing later.
+* equal sets are one class; only its first document is indexed and compared.
 * rows that repeat an id, or have none, are rows of their own (see ``_store.identified``).
-* extra columns of the input are ignored.
+* extra columns of the input are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._components import components
-from ._store import identified, tasks_for, written
+from ._store import drop, identified, tasks_for, written
 
 _U = np.uint64
 #: Bands of set sizes grow by this factor.
@@ -45,10 +50,14 @@ ENTRIES_PER_TASK = 3_000_000
 #: Members compared with one leader in one task.
 MEMBERS_PER_TASK = 256
 FINE = 4.0
-#: Members on the left side of one cell of a large group.
-CELL_MEMBERS = 2048
-#: Pairs of a document with each other component that are looked at first.
-CLOSEST = 256
+#: Classes of copies with a greater share of all documents are handed to all tasks.
+HOT_SHARE = 1 / 4096
+#: Members on the left and on the right side of one cell of a large group.
+LEFT, RIGHT = 2048, 8192
+#: Pairs that a member gives in a cell at first, and the factor for those whose pairs were no links.
+CLOSEST, MORE = 4, 4
+#: Bits of a sketch per token, at first and for the groups whose pairs were no links.
+COARSE, FINER = 2, 16
 
 
 def _differences(t: float, total: int) -> int:
@@ -136,10 +145,9 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _index(docs: DataFrame, size: int, t: float, buckets: int, fine: float) -> DataFrame:
-    """(bucket, items, counts, sigs): packed signatures. Copies within a task are indexed once."""
+    """(bucket, items, counts, sigs): packed signatures."""
 
     def run(batches):
-        seen: set[bytes] = set()
         pending: list = []
         entries = 0
 
@@ -173,10 +181,7 @@ def _index(docs: DataFrame, size: int, t: float, buckets: int, fine: float) -> D
         for b in batches:
             nodes = b.column(0).to_pylist()
             for node, s in zip(nodes, _sets(b.column(1), size) if nodes else (), strict=True):
-                if not len(s) or (d := _digest(s)) in seen:
-                    continue
-                seen.add(d)
-                for band, need in _schemes(len(s), t):
+                for band, need in _schemes(len(s), t) if len(s) else ():
                     m, deletion = _segments(band, t, fine)
                     seed = 0
                     while True:
@@ -269,8 +274,8 @@ def _bucket_count(spark: SparkSession, entries: int) -> int:
     return max(tasks_for(spark) * 2, math.ceil(entries / ENTRIES_PER_TASK))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
-    """(a, b) of the pairs (leader a, member b) whose whole sets are similar enough."""
+def _with_leaders(pairs: DataFrame, table: DataFrame, run, kind: str = "a long, b long") -> DataFrame:
+    """``run`` over each leader a and its members b, all with their columns of ``table`` (by node), in parts of bounded size."""
     count = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / MEMBERS_PER_TASK).cast("int"))
     leaders = count.select("a", F.col("a").alias("b"), "salts")
     # leaders of many members are few, a pair in 256 at most, so they can afford a row for each part
@@ -279,7 +284,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame
     dealt = parted.join(big, (F.col("a") == F.col("k")) & (F.col("p") == F.col("part")), "left").select("a", "b", F.coalesce(F.col("salts"), F.lit(1)).alias("salts"))
     dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     leads = leaders.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = dealt.unionByName(leads).join(docs.select(F.col("node").alias("b"), "text"), "b")
+    rows = dealt.unionByName(leads).join(table.withColumnRenamed("node", "b"), "b")
+    return rows.groupBy("a", "salt").applyInArrow(run, kind)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame:
+    """(a, b) of the pairs (leader a, member b) whose whole sets are similar enough."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b = table.column("a")[0].as_py(), table.column("b").to_pylist()
@@ -292,7 +302,38 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame
                 found.append(other)
         return pa.table([pa.array([a] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
 
-    return rows.groupBy("a", "salt").applyInArrow(run, "a long, b long")
+    return _with_leaders(pairs, docs, run)
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, t: float) -> DataFrame:
+    """(a, b) of the pairs (leader a, member b) that their sizes and sketches do not rule out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, n = table.column("a")[0].as_py(), table.column("b").to_numpy(), table.column("n").to_numpy()
+        sketches, lead = _sketches(table.column("bits")), int(np.flatnonzero(b == a)[0])
+        apart = np.bitwise_count(sketches ^ sketches[lead]).sum(axis=1)
+        good = (apart <= (1 - t) / (1 + t) * (n + n[lead]) + 1e-9) & (n >= t * n[lead] - 1e-9) & (n[lead] >= t * n - 1e-9) & (b != a)
+        return pa.table([np.full(int(good.sum()), a), b[good]], names=["a", "b"])
+
+    return _with_leaders(pairs, bits, run)
+
+
+def _sketches(column: pa.ChunkedArray) -> np.ndarray:
+    """Sketches of one width, the least of all: a wide one folds to any smaller power of two."""
+    rows = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+    width = min(map(len, rows))
+    return np.stack([np.bitwise_xor.reduce(r.reshape(-1, width), axis=0) for r in rows])
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """(node, component, n_shingles): the first document of each one's class, for all that have words."""
+    sets = sets.where("digest is not null")
+    leads = written(sets.groupBy("digest").agg(F.min("node").alias("component"), F.count("*").alias("n")))
+    # 1 / HOT_SHARE classes at most have such a share of all rows
+    hot = leads.where(F.col("n") > sets.count() * HOT_SHARE)
+    few = F.broadcast(hot.select("digest", "component"))
+    rest = sets.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(leads.drop("n"), "digest")
+    return sets.join(few, "digest").unionByName(rest.select(*sets.columns, "component")).select("node", "component", "n_shingles")
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -304,23 +345,28 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs, docs_renumbered = identified(docs, id_col, text_col)
     sets = written(document_sets(docs, size))
-    classes = written(sets.where("digest is not null").groupBy("digest").agg(F.min("node").alias("lead")))
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    label = written(_classes(sets))
+    # few copies are sent to all tasks, many are joined
+    copies = written(label.where("node <> component").select("node"))
+    firsts = docs.join(copies, "node", "left_anti")
+    total = label.where("node = component").agg(F.sum("n_shingles")).first()[0] or 0
+    label = label.drop("n_shingles")
     buckets = _bucket_count(spark, total)
-    groups = written(_allocate(_groups(_index(docs, size, threshold, buckets, 1.0), buckets)))
-    dear = groups.where(f"probe and members > {DEAR}").select("node").distinct()
-    hard = docs.join(dear, "node", "left_semi")
+    groups = written(_allocate(_groups(_index(firsts, size, threshold, buckets, 1.0), buckets)))
+    dear = written(groups.where(f"probe and members > {DEAR}").select("node").distinct())
+    hard = firsts.join(dear, "node", "left_semi")
     # who can do without dear groups finds its partners itself; the rest meets over finer segments
-    fine = _allocate(_groups(_index(hard, size, threshold, buckets, FINE), buckets))
-    columns = ["gid", "node", "probe"]
+    fine = written(_allocate(_groups(_index(hard, size, threshold, buckets, FINE), buckets)).select("gid", "node", "probe"))
     easy = groups.join(dear, "node", "left_anti").where("probe").select("gid").distinct()
     kept = groups.join(easy, "gid", "left_semi").join(dear.withColumn("dear", F.lit(True)), "node", "left")
     kept = kept.select("gid", "node", (F.col("probe") & F.col("dear").isNull()).alias("probe"))
-    fine = fine.select(columns)
     open_ = written(kept.unionByName(fine.join(fine.where("probe").select("gid").distinct(), "gid", "left_semi")).groupBy("gid", "node").agg(F.max("probe").alias("probe")))
-    texts = written(docs.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text"))
-    label = written(sets.join(classes, "digest").select("node", F.col("lead").alias("component")))
+    drop(groups, dear, fine)
+    asked = written(open_.select("node").distinct())
+    texts = written(docs.join(asked, "node", "left_semi").select("node", "text"))
+    drop(asked)
     label = _link_groups(open_, label, texts, size, threshold)
+    drop(open_, texts, copies)
     rows = sets.join(label, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
     if not docs_renumbered:
         return rows.select(F.col("node").cast(docs.schema["id"].dataType).alias(id_col), "n_shingles", F.col("component").cast(docs.schema["id"].dataType).alias("component_id"))
@@ -330,6 +376,23 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return rows.join(names, "component").select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
+def keep_one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.75) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, or the first where ids repeat or are null.
+
+    Rows are told apart even where their ids are not. Documents without words all stay.
+    """
+    known, renumbered = identified(docs, id_col, text_col)
+    if not renumbered:
+        found = similar_documents(docs, id_col=id_col, text_col=text_col, size=size, threshold=threshold)
+        gone = written(found.where(F.col("component_id") != F.col(id_col)).select(id_col))
+        return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    drop(known)
+    numbered = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("node"), F.col(text_col).alias("text")))
+    found = similar_documents(numbered, id_col="node", text_col="text", size=size, threshold=threshold)
+    gone = written(found.where("component_id <> node").select("node"))
+    return numbered.join(gone, "node", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after ``links``: only components that the links touch are worked on."""
     one, two = (label.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("a", "u"), ("b", "v")))
@@ -338,8 +401,8 @@ def _relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
-def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
-    """(node, n, bits): set sizes, and odd sketches of about two bits per token.
+def _bitmaps(texts: DataFrame, size: int, per_token: int) -> DataFrame:
+    """(node, n, bits): set sizes, and odd sketches of about so many bits per token.
 
     A bit is the parity of the tokens that fall on it, so tokens of both sets cancel out and each
     token of only one set flips one bit: differing bits bound differing tokens from below.
@@ -349,7 +412,7 @@ def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
         for b in batches:
             n, bits = [], []
             for s in _sets(b.column(1), size):
-                width = 1 << min(16, max(8, (2 * len(s) - 1).bit_length()))
+                width = 1 << min(20, max(8, (per_token * len(s) - 1).bit_length()))
                 one = np.bincount((s >> _U(20)).astype(np.int64) & (width - 1), minlength=width) & 1
                 n.append(len(s))
                 bits.append(np.packbits(one.astype(bool), bitorder="little").tobytes())
@@ -359,33 +422,36 @@ def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _near(table: pa.Table, t: float, most: int) -> pa.Table:
-    """Pairs of a group that lie in different components and that their bitmaps do not rule out.
+    """Pairs of a cell that lie in different components and that their bitmaps do not rule out.
 
-    For each document outside of the group's largest component, the ``most`` closest of every
-    other component; ``more`` counts those that were held back.
+    For each document on the left the ``most`` closest on the right: of each other component the
+    closest first. ``more`` says whether some were held back.
     """
     node, comp, n = (table.column(c).to_numpy() for c in ("node", "c", "n"))
     probe, left = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("probe", "left"))
-    kinds, of, times = np.unique(comp, return_inverse=True, return_counts=True)
-    rows = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-    width = min(map(len, rows))
-    bits = np.stack([np.bitwise_xor.reduce(r.reshape(-1, width), axis=0) for r in rows])
-    found = []
-    for i in np.flatnonzero(left & (of != np.argmax(times))):
-        other = np.flatnonzero((of != of[i]) & (probe | probe[i]) & (n >= t * n[i] - 1e-9) & (n[i] >= t * n - 1e-9))
+    bits, gid = _sketches(table.column("bits")), table.column("gid")[0].as_py()
+    right = np.flatnonzero(~left)
+    a, b, more = [], [], []
+    for i in np.flatnonzero(left):
+        other = right[(comp[right] != comp[i]) & (probe[right] | probe[i]) & (n[right] >= t * n[i] - 1e-9) & (n[i] >= t * n[right] - 1e-9)]
         apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
         good = apart <= (1 - t) / (1 + t) * (n[other] + n[i]) + 1e-9
         other, apart = other[good], apart[good]
-        if not len(other):
-            continue
-        order = np.lexsort((node[other], apart, of[other]))
-        other = other[order]
-        first = np.searchsorted(of[other], of[other])
-        place = np.arange(len(other)) - first
-        held = int(np.count_nonzero(place >= most))
-        found += [(node[i], node[j], held) for j in other[place < most]]
-    a, b, more = zip(*found, strict=True) if found else ((), (), ())
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.int64())], names=["a", "b", "more"])
+        if len(other) > most:
+            order = np.lexsort((node[other], apart, comp[other]))
+            of = comp[other[order]]
+            place = np.arange(len(order)) - np.searchsorted(of, of)
+            order = order[np.lexsort((node[other[order]], apart[order], place))]
+            other, held = other[order[:most]], True
+        else:
+            held = False
+        a.append(np.full(len(other), node[i]))
+        b.append(node[other])
+        more.append(np.full(len(other), held))
+    if not a:
+        a, b, more = ([np.zeros(0, x)] for x in (np.int64, np.int64, bool))
+    columns = [np.concatenate(x) for x in (a, b, more)]
+    return pa.table([np.full(len(columns[0]), gid), *columns], names=["gid", "a", "b", "more"])
 
 
 def _near_with(t: float, most: int):
@@ -395,43 +461,69 @@ def _near_with(t: float, most: int):
 def _spread(state: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their components, and the groups with a probe that lie in several components."""
     g = state.join(label, "node").withColumnRenamed("component", "c")
-    kept = g.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("probe").alias("any"), F.min(F.when(F.col("probe"), F.struct("node", "c"))).alias("l"), F.count("*").alias("members"))
-    return g, kept.where("low < high and any")
+    by = g.groupBy("gid", "c").agg(F.count("*").alias("n"), F.max("probe").alias("any"), F.min(F.when(F.col("probe"), F.struct("node", "c"))).alias("l"))
+    kept = by.groupBy("gid").agg(F.count("*").alias("kinds"), F.max("any").alias("any"), F.min("l").alias("l"), F.sum("n").alias("members"), F.max(F.struct("n", F.col("c").alias("main"))).alias("m"))
+    return g, kept.where("kinds > 1 and any").select("gid", "l", "members", "m.main", (F.col("members") - F.col("m.n")).alias("rest"))
+
+
+def _cells(g: DataFrame, bits: DataFrame) -> DataFrame:
+    """Each member outside of its group's main component on the left of a row of cells, and every member on the right of a column."""
+    across, down = F.ceil(F.col("rest") / LEFT).cast("int"), F.ceil(F.col("members") / RIGHT).cast("int")
+    h = F.xxhash64("node")
+    cell = lambda left, x, y: F.struct(F.lit(left).alias("left"), x.alias("x"), y.alias("y"))
+    on_left = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda y: cell(True, F.pmod(h, F.col("across")).cast("int"), y))
+    on_right = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda x: cell(False, x, F.pmod(h, F.col("down")).cast("int")))
+    both = F.when(F.col("c") == F.col("main"), on_right).otherwise(F.concat(on_left, on_right))
+    dealt = g.withColumns({"across": across, "down": down}).withColumn("cell", F.explode(both))
+    return dealt.select("gid", "cell.x", "cell.y", "node", "c", "probe", "cell.left").join(bits, "node")
 
 
 def _link_groups(groups: DataFrame, label: DataFrame, texts: DataFrame, size: int, t: float) -> DataFrame:
     """Labels after all links that the groups' probes have.
 
     First each group's first probe is compared with the members in other components, which
-    joins groups of copies. Then the groups that still lie in several components go to
-    tasks with bitmaps of their members, and give only pairs that can still be similar: the
-    closest of each component first, then sixteen times as many, until none is held back.
+    joins groups of copies. Then the groups that still lie in several components are compared
+    in cells with bitmaps of their members, until no pair is held back that can be similar.
     """
     g, spread = _spread(groups, label)
     stars = g.join(spread.select("gid", "l"), "gid").where("c <> l.c").select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-    stars = written(stars.distinct())
-    links = written(_verify(stars, texts, size, t))
+    stars, bits = written(stars.distinct()), written(_bitmaps(texts, size, COARSE))
+    likely = written(_possible(stars, bits, t))
+    links = written(_verify(likely, texts, size, t))
     label = _relabelled(label, links)
-    tried = stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    state, most, bits = groups, CLOSEST, written(_bitmaps(texts, size))
+    drop(links)
+    tried = [written(stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())]
+    drop(stars, likely)
+    state, most, held = groups, CLOSEST, []
     while True:
         g, spread = _spread(state, label)
-        g = written(g.join(spread.select("gid", "members"), "gid"))
-        if g.isEmpty():
-            return label
-        state = g.select("gid", "node", "probe")
-        salts = F.ceil(F.col("members") / CELL_MEMBERS).cast("int")
-        cells = g.join(bits, "node").withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        cells = cells.withColumn("left", F.pmod(F.xxhash64("node"), F.col("salts")) == F.col("salt"))
-        near = cells.select("gid", "salt", "node", "c", "n", "bits", "probe", "left").groupBy("gid", "salt").applyInArrow(_near_with(t, most), "a long, b long, more long")
-        near = near.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"), F.max("more").alias("more"))
-        near = written(near)
-        pairs = written(near.join(tried, ["lo", "hi"], "left_anti"))
-        if not pairs.isEmpty():
-            links = written(_verify(pairs.select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b")), texts, size, t))
+        g = written(g.join(spread.drop("l"), "gid"))
+        drop(*held)
+        held = [g]
+        near = _cells(g, bits).groupBy("gid", "x", "y").applyInArrow(_near_with(t, most), "gid long, a long, b long, more boolean")
+        found = written(near)
+        near = written(found.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a")))
+        fresh = near
+        for one in tried:
+            fresh = fresh.join(one, ["lo", "hi"], "left_anti")
+        fresh = written(fresh.select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b"), "lo", "hi"))
+        if not fresh.isEmpty():
+            links = written(_verify(fresh.select("a", "b"), texts, size, t))
             if not links.isEmpty():
                 label = _relabelled(label, links)
-            tried = tried.unionByName(pairs.select("lo", "hi"))
-        if near.where("more > 0").isEmpty():
+            tried.append(written(fresh.select("lo", "hi")))
+            drop(links)
+        # only groups with pairs that were held back go on
+        open_ = written(found.where("more").select("gid").distinct())
+        drop(near, fresh, found)
+        if open_.isEmpty():
+            drop(bits, open_, *tried, *held)
             return label
-        most *= 16
+        state = g.join(open_, "gid").select("gid", "node", "probe")
+        held.append(open_)
+        if most == CLOSEST:
+            drop(bits)
+            asked = written(state.select("node").distinct())
+            bits = written(_bitmaps(texts.join(asked, "node", "left_semi"), size, FINER))
+            drop(asked)
+        most *= MORE

@@ -62,8 +62,7 @@ def op2_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return bpe.decode(ids, path).select(
+    return bpe.encode_and_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select(
         "doc_id",
         F.floor(F.length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -15,7 +15,10 @@ the way to the run, in hexadecimal digits of fixed width that sort as text) and
 Contracts
 * rows with a null conversation or turn have no parent, no position and an empty path; null text stays null.
 * rows that repeat a conversation and turn share parent, path and position.
-* a message whose quotes are all its text keeps an empty text. Other columns pass through.
+* messages that are quoted equally often: the latest is the parent.
+* a message whose quotes are all its text keeps an empty text. Other columns pass through;
+  those that have an output's name are replaced. An empty table gives no rows.
+* rows come sorted by conversation and position.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import written
+from ._store import tasks_for, written
 
 _MARKS = re.compile(r"^\s*((?:>\s?)+)")
 _SENTENCE = re.compile(r"(?<=[.!?\u3002\uff01\uff1f])[\"')\]\u201d\u2019]*\s+|(?<=[\u3002\uff01\uff1f])")
@@ -87,7 +90,8 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
 
 def reply_order(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """The messages without quotes, with parent_turn, run_start, path and position."""
-    rows = written(parsed(messages.withColumns({"_c": F.col(conv_col), "_t": F.col(turn_col).cast("long")}), text_col))
+    packed = messages.select(F.struct("*").alias("row"), F.col(conv_col).alias("_c"), F.col(turn_col).cast("long").alias("_t"), F.col(text_col).alias("text"))
+    rows = written(parsed(packed).drop("text"))
     keyed = rows.where("_c is not null and _t is not null")
     lines = keyed.select("_c", "_t", F.explode("lines").alias("l")).select("_c", "_t", "l.level", "l.h").distinct()
     wrote = lines.where("level = 0").select(F.col("_c").alias("c"), F.col("_t").alias("source"), F.col("h").alias("k"))
@@ -126,7 +130,23 @@ def reply_order(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     digits = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
     path = F.array_join(F.transform("path", lambda p: F.concat_ws(":", digits(p["after"]), digits(p["turn"]))), "/")
     placed = placed.select(F.col("_c").alias("c"), F.col("_t").alias("t"), "parent", "start", path.alias("path"))
-    placed = placed.withColumn("position", F.row_number().over(Window.partitionBy("c").orderBy("path", "t")) - 1)
-    out = rows.join(placed, (F.col("_c") == F.col("c")) & (F.col("_t") == F.col("t")), "left")
-    kept = [c for c in messages.columns if c != text_col]
-    return out.select(*kept, F.col("own").alias(text_col), F.col("parent").alias("parent_turn"), F.col("start").alias("run_start"), F.coalesce("path", F.lit("")).alias("path"), "position")
+    placed = _positions(placed)
+    out = rows.join(placed, (F.col("_c") == F.col("c")) & (F.col("_t") == F.col("t")), "left").orderBy("_c", "position", "_t")
+    outs = {"parent_turn": F.col("parent"), "run_start": F.col("start"), "path": F.coalesce("path", F.lit("")), "position": F.col("position")}
+    kept = [c for c in messages.columns if c != text_col and c not in outs]
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), F.col("own").alias(text_col), *(v.alias(c) for c, v in outs.items()))
+
+
+def _positions(placed: DataFrame) -> DataFrame:
+    """Adds each message's position in its conversation's reply order.
+
+    Rows are sorted over ranges that may cut a conversation; a range's rows of a conversation
+    count from where those of the ranges before end. So no task holds a whole conversation.
+    """
+    ranged = placed.repartitionByRange(tasks_for(placed.sparkSession), "c", "path", "t").sortWithinPartitions("c", "path", "t")
+    ranged = written(ranged.withColumn("m", F.monotonically_increasing_id()).withColumn("part", F.shiftright("m", 33)))
+    by = ranged.groupBy(F.col("c").alias("bc"), F.col("part").alias("bp")).agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("bc").orderBy("bp").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    both = ranged.join(by, (F.col("c") == F.col("bc")) & (F.col("part") == F.col("bp")))
+    return both.withColumn("position", F.col("m") - F.col("first") + F.col("before")).select(*placed.columns, "position")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._store import shared_folder, tasks_for, written
+from ._worker import kept
 
 SEQUENCE = 2048
 BATCH_ROWS = 64
@@ -126,13 +127,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
