@@ -34,10 +34,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents only the smallest id stays; rows without id stay."""
-    found = ngram_join.similar_documents(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of similar documents one row stays, and all rows without words."""
+    return ngram_join.keep_one_of_similar(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +50,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    ids = bpe.encode(docs.select("doc_id", "text"), path).drop("text")
-    decoded = bpe.decode(ids, path)
-    return decoded.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+    found = bpe.encode_and_decode(docs.select("doc_id", "text"), path)
+    return found.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), "ids", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -65,7 +62,7 @@ STAGES = [
     ("BPE encoding and decoding", encode_tokens),
 ]
 
-#: The stages are not expressible in SQL as a whole; tests hold them against brute force.
+#: The stages are not expressible in SQL as a whole; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
