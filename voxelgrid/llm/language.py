@@ -7,7 +7,7 @@ characters, each shorter step at a cost.
 Contracts
 * the model is fitted on at most about ``rows_per_language`` distinct labelled texts of each
   language (chosen by a hash of the text, copies once); prediction uses the whole text and
-  nothing else. It has words and n-grams as 64-bit hashes in sorted arrays.
+  nothing else. Its vectors lie in one array, not in an object for each word.
 * null text, or text without a letter: ``und`` with score 0. Without any labelled row: ``und``.
 * languages that score alike: the first in sorted order. Rows stand for themselves: repeated
   rows and ids give repeated results, empty tables none.
@@ -22,7 +22,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +33,8 @@ GRAM = 5
 #: Words whose evidence counts in a score; more evidence does not make it surer.
 SURE = 12
 BACK_OFF = 0.4
-#: Chunks kept by a worker, and chunks of a text that are looked up together (fewer than those kept).
-KEPT_WORDS, CHUNKS_AT_ONCE = 200_000, 50_000
-#: Characters of short texts whose chunks are looked up together.
-CHARACTERS_AT_ONCE = 200_000
+#: Chunks kept by a worker, and chunks of a text that are looked up together.
+KEPT_WORDS, CHUNKS_AT_ONCE = 400_000, 50_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -103,24 +100,9 @@ def _log(counts: np.ndarray, total: np.ndarray, kinds: int) -> np.ndarray:
     return np.clip(v - v.mean(axis=1, keepdims=True), -4, 4).astype(np.float32)
 
 
-def _hashes(names: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
-
-
-def _table(names: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the names, and their rows of values."""
-    keys = _hashes(names)
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
-
-def _rows(table: tuple[np.ndarray, np.ndarray], names: list[str]) -> np.ndarray:
-    """The row of each name in a table, or -1."""
-    keys, asked = table[0], _hashes(names)
-    if not len(keys):
-        return np.full(len(names), -1)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, at, -1)
+def _table(names: list[str], values: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Names and their rows of values, as two arrays."""
+    return pa.array(names, pa.string()), values
 
 
 class _Scores(dict):
@@ -128,51 +110,38 @@ class _Scores(dict):
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model = model
-        self.table = np.zeros((1024, len(model["languages"]) + 1), np.float32)
-
-    def _backed_off(self, words: list[str]) -> np.ndarray:
-        """Mean over the longest known n-grams that cover each word."""
-        framed = [f"^{w}$" for w in words]
-        pieces = [t[i : i + k] for t in framed for i in range(len(t)) for k in range(1, min(GRAM, len(t) - i) + 1)]
-        found = _rows(self.model["grams"], pieces).tolist()
-        values, out, at = self.model["grams"][1], np.zeros((len(words), self.table.shape[1] - 1), np.float32), 0
-        for row, t in enumerate(framed):
-            first = [0]
-            for i in range(len(t)):
-                first.append(first[-1] + min(GRAM, len(t) - i))
-            i, n = 0, 0
-            while i < len(t):
-                k = next((k for k in range(first[i + 1] - first[i], 0, -1) if found[at + first[i] + k - 1] >= 0), 0)
-                if k:
-                    out[row] += values[found[at + first[i] + k - 1]] * (1 - BACK_OFF * (GRAM - k) / GRAM)
-                    n += 1
-                i += max(1, k - 1)
-            out[row] /= max(1, n)
-            at += first[-1]
-        return out
-
-    def learn(self, chunks: list[str]) -> None:
-        """Adds chunks that are not known yet."""
-        if len(self) + len(chunks) > KEPT_WORDS:
-            self.clear()
-            self.table = np.zeros((1024, self.table.shape[1]), np.float32)
-        words = [_LETTERS.findall(c.lower()) for c in chunks]
-        kinds = sorted({w for x in words for w in x})
-        row = _rows(self.model["words"], kinds)
-        values = np.zeros((len(kinds), self.table.shape[1] - 1), np.float32)
-        values[row >= 0] = self.model["words"][1][row[row >= 0]]
-        values[row < 0] = self._backed_off([kinds[i] for i in np.flatnonzero(row < 0)])
-        place = {w: i for i, w in enumerate(kinds)}
-        start, need = len(self), len(self) + len(chunks)
-        if need > len(self.table):
-            more = np.zeros((max(need, len(self.table) * 3 // 2), self.table.shape[1]), np.float32)
-            more[: len(self.table)] = self.table
-            self.table = more
-        own = np.repeat(np.arange(start, need), [len(x) for x in words])
-        np.add.at(self.table[:, :-1], own, values[[place[w] for x in words for w in x]])
-        self.table[start:need, -1] = [len(x) for x in words]
-        self.update(zip(chunks, range(start, need), strict=True))
+        self.size = len(model["languages"])
+        self.names = model["languages"]
+        self.words, self.grams = ({x: i for i, x in enumerate(model[k][0].to_pylist())} for k in ("words", "grams"))
+        self.of_word, self.of_gram = model["words"][1], model["grams"][1]
+        self.table = np.zeros((1024, self.size + 1), np.float32)
+
+    def word(self, w: str) -> np.ndarray:
+        row = self.words.get(w)
+        if row is not None:
+            return self.of_word[row]
+        grams, text, i, rows, weights = self.grams, f"^{w}$", 0, [], []
+        while i < len(text):
+            for k in range(min(GRAM, len(text) - i), 0, -1):
+                row = grams.get(text[i : i + k])
+                if row is not None:
+                    rows.append(row)
+                    weights.append(1 - BACK_OFF * (GRAM - k) / GRAM)
+                    i += max(1, k - 1)
+                    break
+            else:
+                i += 1
+        return np.array(weights, np.float32) @ self.of_gram[rows] / len(rows) if rows else np.zeros(self.size, np.float32)
+
+    def __missing__(self, chunk: str) -> int:
+        row = len(self)
+        if row >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for w in _LETTERS.findall(chunk.lower()):
+            self.table[row, :-1] += self.word(w)
+            self.table[row, -1] += 1
+        self[chunk] = row
+        return row
 
 
 def _scores(model: dict) -> _Scores:
@@ -181,17 +150,15 @@ def _scores(model: dict) -> _Scores:
 
 
 def _predict(scores: _Scores, text: str | None) -> tuple[str, float]:
-    languages = scores.model["languages"]
+    languages = scores.names
     chunks = (text or "").split()
     total = np.zeros(len(languages) + 1)
     for at in range(0, len(chunks), CHUNKS_AT_ONCE):
-        some = chunks[at : at + CHUNKS_AT_ONCE]
-        new = set(some).difference(scores)
-        if new:
-            scores.learn(sorted(new))
-            if not scores.keys() >= set(some):  # the table was emptied
-                scores.learn(sorted(set(some).difference(scores)))
-        total += scores.table[[scores[c] for c in some]].sum(axis=0, dtype=np.float64)
+        if len(scores) > KEPT_WORDS:
+            scores.clear()
+            scores.table = np.zeros((1024, len(languages) + 1), np.float32)
+        rows = [scores[c] for c in chunks[at : at + CHUNKS_AT_ONCE]]
+        total += scores.table[rows].sum(axis=0, dtype=np.float64)
     words = total[-1]
     if not words or not languages:
         return "und", 0.0
@@ -201,20 +168,6 @@ def _predict(scores: _Scores, text: str | None) -> tuple[str, float]:
     return languages[best], float(p[best] / p.sum())
 
 
-def _together(column):
-    """Texts in groups of a bounded number of characters; one that has more is alone."""
-    group, size = [], 0
-    for x in column:
-        text = x.as_py()
-        if group and size + len(text or "") > CHARACTERS_AT_ONCE:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text or "")
-    if group:
-        yield group
-
-
 def identify(docs: DataFrame, model: dict, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Adds the predicted language and its score."""
     outs = (lang_out, score_out)
@@ -224,12 +177,7 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", lang_out:
     def run(batches):
         scores = _scores(shared.value)
         for b in batches:
-            found = []
-            for texts in _together(b.column(b.schema.get_field_index(text_col))):
-                new = {c for t in texts for c in (t or "").split()}.difference(scores) if len(texts) > 1 else ()
-                if new:
-                    scores.learn(sorted(new))
-                found += [_predict(scores, t) for t in texts]
+            found = [_predict(scores, x.as_py()) for x in b.column(b.schema.get_field_index(text_col))]
             names = [n for n in b.schema.names if n not in outs]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(b.schema.get_field_index(n)) for n in names), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
