@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Seam windows are numbered from here on, where the main windows end below.
+SEAM_BASE = 100_000
+
+
 def _div(a: Column, b: int) -> Column:
-    """Whole-number quotient of values that are not negative."""
-    return F.floor(a / F.lit(b)).cast("int")
+    """Whole-number quotient of values that are not negative, without a detour over doubles."""
+    return F.call_function("div", a, F.lit(b)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -70,6 +74,11 @@ class GroupSpec:
         gx = 1 if meta.nx <= self.cols else 1 - (-(meta.nx - self.cols) // self.step)
         return gx, -(-meta.ny // self.rows), -(-meta.nz // self.slabs)
 
+    def seam_base(self, meta: GridMeta) -> int:
+        """The number of the first seam window: SEAM_BASE, or above all main windows where these are more."""
+        gx, gy, gz = self.counts(meta)
+        return max(SEAM_BASE, gx * gy * gz)
+
 
 def check_radius(meta: GridMeta, radius: int, *, halo_z: bool = True) -> None:
     """A window may reach no further than the neighbouring tile."""
@@ -85,7 +94,8 @@ def linear_index(meta: GridMeta, x: Column, y: Column, z: Column) -> Column:
 
 def coordinates(index: Column, x: int, y: int) -> tuple[Column, Column, Column]:
     """x, y and z of a linear index; x runs fastest."""
-    return (index % x).cast("int"), F.floor(index / x % y).cast("int"), F.floor(index / (x * y)).cast("int")
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    return (index % x).cast("int"), (div(index, x) % y).cast("int"), div(index, x * y).cast("int")
 
 
 def tile_of(meta: GridMeta, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:

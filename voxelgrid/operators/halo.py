@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import GridMeta, GroupSpec, check_radius, linear_index
-from .windows import BOX, SEAM_BASE
+from .windows import BOX
 
 
 def _floor(c: Column, n: int) -> Column:
@@ -45,8 +45,8 @@ def group_halo(voxels: DataFrame, meta: GridMeta, radius: int, spec: GroupSpec =
     at_seam = (seam >= 0) & (seam < gy - 1) & (F.col("y") < (seam + 1) * h + 2 * radius)
     rows = rows.withColumn("_gx", F.explode(F.concat(F.filter(cols, lambda g: F.col("x") >= first(g)), F.when(at_seam, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))))
     is_seam = F.col("_gx") < 0
-    main_id = F.col("_gx") + _floor(F.col("y"), h) * gx + F.col("_gz") * (gx * gy)
-    split_id = F.when(is_seam, F.lit(SEAM_BASE) + F.col("_gz") * (gy - 1) + seam).otherwise(main_id)
+    main_id = F.col("_gx") + _floor(F.col("y"), h).cast("long") * gx + F.col("_gz").cast("long") * (gx * gy)
+    split_id = F.when(is_seam, F.lit(spec.seam_base(meta)).cast("long") + F.col("_gz").cast("long") * (gy - 1) + seam).otherwise(main_id)
     box = {
         "x0": F.when(is_seam, 0).otherwise(first(F.col("_gx"))),
         "y0": F.when(is_seam, (seam + 1) * h - 2 * radius).otherwise(_floor(F.col("y"), h) * h),

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import GridMeta, GroupSpec, check_radius
 
-#: Numbers of seam windows begin here.
-SEAM_BASE = 100_000
 BOX = ["x0", "x1", "y0", "y1", "z0", "z1"]
 
 
@@ -35,8 +33,6 @@ def group_windows(spark: SparkSession, meta: GridMeta, radius: int, spec: GroupS
     """Main windows (MG) over groups that overlap along x, and seam windows (OR) between group rows."""
     check_radius(meta, radius, halo_z=halo_z)
     gx, gy, gz = spec.counts(meta)
-    if gx * gy * gz > SEAM_BASE and gy > 1:
-        raise ValueError("too many main windows for the numbering of seam windows")
     rz = radius if halo_z else 0
     w, h, d = spec.cols * meta.cx, spec.rows * meta.cy, spec.slabs * meta.cz
     z = lambda g: [F.greatest(F.lit(0), g * d - rz), F.least((g + 1) * d + rz, F.lit(meta.z))]
@@ -51,7 +47,7 @@ def group_windows(spark: SparkSession, meta: GridMeta, radius: int, spec: GroupS
     seam = (b + 1) * h
     box = [F.lit(0), F.lit(meta.x), seam - 2 * radius, F.least(seam + 2 * radius, F.lit(meta.y)), *z(c)]
     place = [F.lit(0).alias("gx"), b.alias("gy"), c.alias("gz")]
-    return main.unionByName(_table(spark.range((gy - 1) * gz), "OR", F.col("id") + SEAM_BASE, box, place))
+    return main.unionByName(_table(spark.range((gy - 1) * gz), "OR", F.col("id") + spec.seam_base(meta), box, place))
 
 
 def tile_windows(spark: SparkSession, meta: GridMeta, radius: int) -> DataFrame:

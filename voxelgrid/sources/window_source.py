@@ -38,7 +38,7 @@ def boxes(meta: GridMeta, radius: int, spec: GroupSpec) -> list[tuple[int, tuple
                 out.append((a + b * gx + c * gx * gy, (x0, min(at + w, meta.x), b * h, min((b + 1) * h, meta.y), *z)))
         for b in range(gy - 1):
             y = (b + 1) * h
-            out.append((100_000 + c * (gy - 1) + b, (0, meta.x, y - 2 * radius, min(y + 2 * radius, meta.y), *z)))
+            out.append((spec.seam_base(meta) + c * (gy - 1) + b, (0, meta.x, y - 2 * radius, min(y + 2 * radius, meta.y), *z)))
     return out
 
 
