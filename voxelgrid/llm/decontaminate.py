@@ -34,7 +34,8 @@ from ._worker import kept
 _U = np.uint64
 #: Places looked at. Every overlap of 12 to 20 words that is accepted below, wherever its
 #: substitutions are, has a place where one of these masks looks at none of them (a test counts
-#: them all); longer ones have many more places.
+#: them all); longer ones have many more places. The extension from there may still stop short
+#: where substitutions lie close together.
 MASKS = ("11101011", "1100100001011", "11010001011", "1111011", "1110010011", "101000011011", "111001010001")
 SPAN = 13
 LEAST_WORDS = 8
@@ -103,13 +104,13 @@ class Seeds:
                 for place in places[a:z].tolist():
                     item = int(self.item[place])
                     key = (row, item, i - place)
-                    # an alignment is extended once for the words that it reached
+                    # an accepted overlap is not extended again from hits within it; another hit may do better where one fails
                     if tried.get(key, -1) >= i:
                         continue
                     got, reached = self._extend(words, int(bounds[row]), int(bounds[row + 1]), i, place, item, len(mask))
-                    tried[key] = max(reached, tried.get(key, -1))
                     if not got:
                         continue
+                    tried[key] = max(reached, tried.get(key, -1))
                     one = found[row].setdefault(item, [])
                     shared = [x for x in one if got[1] <= x[2] and x[1] <= got[2]]
                     if all(got[0] > x[0] for x in shared):
