@@ -24,6 +24,13 @@ def kept(key: Hashable, make: Callable[[], object]):
     return _kept[1]
 
 
+def forget() -> None:
+    """Drops what an operator before has kept; for operators that keep nothing themselves."""
+    if _kept:
+        _kept.clear()
+        release()
+
+
 def release() -> None:
     """Gives unused memory back to the system, where its allocators can."""
     gc.collect()

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from . import _text
 from ._components import components
 from ._store import drop, identified, tasks_for, written
+from ._worker import forget
 
 _U = np.uint64
 #: Bands of set sizes grow by this factor.
@@ -134,6 +135,7 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
     """(node, n_shingles, digest): the size and identity of each document's set."""
 
     def run(batches):
+        forget()
         for b in batches:
             sets = list(_sets(b.column(1), size)) if b.num_rows else []
             yield pa.RecordBatch.from_arrays(
@@ -148,6 +150,7 @@ def _index(docs: DataFrame, size: int, t: float, buckets: int, fine: float) -> D
     """(bucket, items, counts, sigs): packed signatures."""
 
     def run(batches):
+        forget()
         pending: list = []
         entries = 0
 
@@ -245,6 +248,7 @@ def _groups(index: DataFrame, buckets: int) -> DataFrame:
     kind = "gid long, members long, node long, scheme int, slack int, shared long"
 
     def run(batches):
+        forget()
         found = list(batches)
         if found:
             yield from _groups_of_bucket(pa.Table.from_batches(found)).to_batches()
@@ -292,6 +296,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, t: float) -> DataFrame
     """(a, b) of the pairs (leader a, member b) whose whole sets are similar enough."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         a, b = table.column("a")[0].as_py(), table.column("b").to_pylist()
         lead = b.index(a)
         one = next(_sets(table.column("text").slice(lead, 1), size))
@@ -309,6 +314,7 @@ def _possible(pairs: DataFrame, bits: DataFrame, t: float) -> DataFrame:
     """(a, b) of the pairs (leader a, member b) that their sizes and sketches do not rule out."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         a, b, n = table.column("a")[0].as_py(), table.column("b").to_numpy(), table.column("n").to_numpy()
         sketches, lead = _sketches(table.column("bits")), int(np.flatnonzero(b == a)[0])
         apart = np.bitwise_count(sketches ^ sketches[lead]).sum(axis=1)
@@ -409,6 +415,7 @@ def _bitmaps(texts: DataFrame, size: int, per_token: int) -> DataFrame:
     """
 
     def run(batches):
+        forget()
         for b in batches:
             n, bits = [], []
             for s in _sets(b.column(1), size):
@@ -455,7 +462,11 @@ def _near(table: pa.Table, t: float, most: int) -> pa.Table:
 
 
 def _near_with(t: float, most: int):
-    return lambda table: _near(table, t, most)
+    def run(table: pa.Table) -> pa.Table:
+        forget()
+        return _near(table, t, most)
+
+    return run
 
 
 def _spread(state: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
