@@ -362,11 +362,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     dear = written(groups.where(f"probe and members > {DEAR}").select("node").distinct())
     hard = firsts.join(dear, "node", "left_semi")
     # who can do without dear groups finds its partners itself; the rest meets over finer segments
-    fine = written(_allocate(_groups(_index(hard, size, threshold, buckets, FINE), buckets)).select("gid", "node", "probe"))
+    fine = written(_allocate(_groups(_index(hard, size, threshold, buckets, FINE), buckets)).select("gid", "node", "probe", "members"))
     easy = groups.join(dear, "node", "left_anti").where("probe").select("gid").distinct()
     kept = groups.join(easy, "gid", "left_semi").join(dear.withColumn("dear", F.lit(True)), "node", "left")
-    kept = kept.select("gid", "node", (F.col("probe") & F.col("dear").isNull()).alias("probe"))
-    open_ = written(kept.unionByName(fine.join(fine.where("probe").select("gid").distinct(), "gid", "left_semi")).groupBy("gid", "node").agg(F.max("probe").alias("probe")))
+    kept = kept.select("gid", "node", (F.col("probe") & F.col("dear").isNull()).alias("probe"), "members")
+    open_ = written(kept.unionByName(fine.join(fine.where("probe").select("gid").distinct(), "gid", "left_semi")).groupBy("gid", "node").agg(F.max("probe").alias("probe"), F.max("members").alias("members")))
     drop(groups, dear, fine)
     asked = written(open_.select("node").distinct())
     texts = written(docs.join(asked, "node", "left_semi").select("node", "text"))
@@ -477,6 +477,13 @@ def _spread(state: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     return g, kept.where("kinds > 1 and any").select("gid", "l", "members", "m.main", (F.col("members") - F.col("m.n")).alias("rest"))
 
 
+def _stars(state: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b): the leading probe of each group, and the first member of each component that it is not in."""
+    g, spread = _spread(state, label)
+    firsts = g.groupBy("gid", "c").agg(F.min("node").alias("b"))
+    return firsts.join(spread.select("gid", "l"), "gid").where("c <> l.c").select(F.col("l.node").alias("a"), "b")
+
+
 def _cells(g: DataFrame, bits: DataFrame) -> DataFrame:
     """Each member outside of its group's main component on the left of a row of cells, and every member on the right of a column."""
     across, down = F.ceil(F.col("rest") / LEFT).cast("int"), F.ceil(F.col("members") / RIGHT).cast("int")
@@ -492,19 +499,26 @@ def _cells(g: DataFrame, bits: DataFrame) -> DataFrame:
 def _link_groups(groups: DataFrame, label: DataFrame, texts: DataFrame, size: int, t: float) -> DataFrame:
     """Labels after all links that the groups' probes have.
 
-    First each group's first probe is compared with the members in other components, which
-    joins groups of copies. Then the groups that still lie in several components are compared
-    in cells with bitmaps of their members, until no pair is held back that can be similar.
+    First the leading probe of each member's largest group, then that of every group, is compared
+    with one member of each other component, which joins groups of copies. Then the groups
+    that still lie in several components are compared in cells with bitmaps of their members,
+    until no pair is held back that can be similar.
     """
-    g, spread = _spread(groups, label)
-    stars = g.join(spread.select("gid", "l"), "gid").where("c <> l.c").select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-    stars, bits = written(stars.distinct()), written(_bitmaps(texts, size, COARSE))
-    likely = written(_possible(stars, bits, t))
-    links = written(_verify(likely, texts, size, t))
-    label = _relabelled(label, links)
-    drop(links)
-    tried = [written(stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())]
-    drop(stars, likely)
+    bits, tried = written(_bitmaps(texts, size, COARSE)), []
+    # copies share many groups: after the largest one of each, few components are left in the others
+    largest = written(groups.groupBy("node").agg(F.max(F.struct("members", "gid", "probe")).alias("m")).select("m.gid", "node", "m.probe"))
+    groups = groups.drop("members")
+    for state in (largest, groups):
+        stars = _stars(state, label).select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"])
+        for one in tried:
+            stars = stars.join(one, ["lo", "hi"], "left_anti")
+        stars = written(stars.select("a", "b", "lo", "hi"))
+        likely = written(_possible(stars.select("a", "b"), bits, t))
+        links = written(_verify(likely, texts, size, t))
+        label = _relabelled(label, links)
+        tried.append(written(stars.select("lo", "hi")))
+        drop(stars, likely, links)
+    drop(largest)
     state, most, held = groups, CLOSEST, []
     while True:
         g, spread = _spread(state, label)
