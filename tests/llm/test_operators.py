@@ -102,6 +102,28 @@ def test_token_files_equal_library(spark, docs):
     assert len(tokens) == 16 and mask.all()
 
 
+def test_token_files_of_hot_and_null_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [" ".join(words(1 + k % 7, k)) for k in range(240)]
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(240)]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumns({"h": F.lit("clash"), "shard": F.lit("clash")})
+    folder = token_files.token_folder(rows)
+    shards = token_files.write_tokens(rows, path, folder, end_id=1, shards=9, sequence=16)
+    sizes = [r.n_docs for r in shards.collect()]
+    assert sum(sizes) == 240 and len(sizes) >= 8 and max(sizes) < 80
+    got = sorted(token_files.read_tokens(shards, folder).collect(), key=lambda r: r.start)
+    keys = [-1 if r.id is None else r.id for r in got]
+    assert keys == sorted(keys)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    want = Counter((i, np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in zip(ids, texts, strict=True))
+    assert Counter((r.id, bytes(r.ids)) for r in got) == want
+    empty = token_files.write_tokens(rows.where("false"), path, folder + "-empty", end_id=1)
+    assert token_files.read_tokens(empty, folder + "-empty").count() == 0
+
+
 def test_language(spark, docs):
     model = language.fit(docs)
     got = {r.doc_id: r for r in language.identify(docs, model).collect()}

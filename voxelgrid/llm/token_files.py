@@ -6,17 +6,19 @@ fixed length. Its file has record batches of two fixed-size-list columns, ``toke
 zero-copy slice of the mapped file. An index file beside it has each document's place.
 
 Contracts
-* documents are written in ascending id order (null ids first; rows of one id in the order
-  of their ids' bytes); null or empty texts have the end id alone.
+* documents are written in ascending id order, null ids first; rows of one id by a hash of
+  their text, then by their ids' bytes. Null or empty texts have the end id alone.
+* shards follow from the bytes of all texts. An id (or null) that has more rows than a shard
+  takes is cut by the hash, so only rows equal in id and text must lie together.
 * files appear under their names only when complete, so a retried task cannot leave halves.
 * extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -31,6 +33,8 @@ from ._worker import kept
 
 SEQUENCE = 2048
 BATCH_ROWS = 64
+#: Text of a shard, on average.
+SHARD_BYTES = 256 << 20
 SLICE_BYTES = 12 << 20
 #: Chunks known to a worker, at some 25 bytes each; the pool is emptied when it is full.
 KEPT_CHUNKS = 3_000_000
@@ -131,15 +135,29 @@ def _encoder(path: str) -> Encoder:
     return kept(("encoder", path), lambda: Encoder(path))
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def shard_of(ids: pa.Array, hashes: np.ndarray, cuts: np.ndarray, null_shards: int) -> np.ndarray:
+    """Shards of rows. Shard k after those of null ids ends with id ``cuts[k]``; a cut that
+    repeats belongs to an id with more rows than a shard, whose rows are dealt by their hashes."""
+    values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    first, last = np.searchsorted(cuts, values, "left"), np.searchsorted(cuts, values, "right")
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    first = np.where(null, 0, first + null_shards)
+    parts = np.where(null, null_shards, np.maximum(last - first + null_shards, 1))
+    part = (hashes.astype(np.int64) >> 32) + (1 << 31)  # the upper half, from 0
+    return (first + (part * parts >> 32)).astype(np.int32)
+
+
+def _encoded(docs: DataFrame, path: str, end_id: int, cuts: np.ndarray, null_shards: int) -> DataFrame:
     def run(batches):
         encoder = _encoder(path)
         for b in batches:
             offsets = _text.arrow_bytes(b.column(1))[1]
+            shard = pa.array(shard_of(b.column(0), b.column(2).to_numpy(zero_copy_only=False), cuts, null_shards))
             for a, z in _text.slices(None, offsets, SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(encoder.encode(b.column(1).slice(a, z - a), end_id), pa.binary())], names=["id", "ids"])
+                packed = pa.array(encoder.encode(b.column(1).slice(a, z - a), end_id), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), packed, shard.slice(a, z - a), b.column(2).slice(a, z - a)], names=["id", "ids", "shard", "h"])
 
-    return docs.mapInArrow(run, "id long, ids binary")
+    return docs.mapInArrow(run, "id long, ids binary, shard int, h long")
 
 
 def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -150,12 +168,13 @@ def write_tokens(docs: DataFrame, path: str, folder: str, *, end_id: int, id_col
     """Writes the files and returns (shard, n_docs, n_tokens), read back from a written table."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shards = shards or tasks_for(spark)
-    cuts = sorted(set(docs.approxQuantile("id", [k / shards for k in range(1, shards)], 1 / (4 * shards)))) if shards > 1 else []
-    bounds = F.array(*(F.lit(int(c)) for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    shard = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("id"))))
-    rows = _encoded(docs, path, end_id).withColumn("shard", shard.cast("int"))
-    rows = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
+    size = docs.agg(F.count("*").alias("rows"), F.count("id").alias("ids"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    shards = shards or max(tasks_for(spark), math.ceil((size.bytes or 0) / SHARD_BYTES))
+    null_shards = min(size.rows - size.ids, math.ceil((size.rows - size.ids) * shards / max(1, size.rows)))
+    main = max(1, shards - null_shards)
+    cuts = np.sort(np.array(docs.approxQuantile("id", [k / main for k in range(1, main)], 1 / (4 * main)) if main > 1 else [], np.float64).astype(np.int64))
+    rows = _encoded(docs.withColumn("h", F.xxhash64("text")), path, end_id, cuts, null_shards)
+    rows = rows.repartitionById(null_shards + len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "ids").drop("h")
 
     def run(batches):
         fs, base = _open(folder)
