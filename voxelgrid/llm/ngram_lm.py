@@ -50,16 +50,24 @@ CONTEXT_BITS = 40
 CODES = 65535
 
 
+#: Place of the k-th set bit of each byte, first bit first.
+_SELECT = np.array([[*(p for p in range(8) if b >> p & 1), *[0] * (8 - b.bit_count())] for b in range(256)], np.uint8)
+
+
 class EliasFano:
-    """A monotone sequence of 64-bit integers: low bits in whole bytes, high bits in unary."""
+    """A monotone sequence of 64-bit integers: low bits in whole bytes, high bits in unary.
+
+    The high bits stay packed, as mapped from the file. Beside them a directory has the number
+    of ones before each 64 of them (half their size), from which a one or a zero is selected.
+    """
 
     def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
-        bits = np.unpackbits(high)
-        self.ones = np.flatnonzero(bits)
-        # ones before each zero: where the values of each high part end
-        self.ends = np.flatnonzero(bits[: (int(self.ones[-1]) if n else 0) + 2] == 0)
-        self.ends -= np.arange(len(self.ends))
+        self.n, self.low_bytes, self.low = n, low_bytes, low
+        self.high = high.view(np.uint64) if len(high) else np.zeros(1, np.uint64)
+        ones = np.bitwise_count(self.high)
+        self.before = np.zeros(len(ones) + 1, np.uint32 if n < 2**32 else np.uint64)
+        np.cumsum(ones, out=self.before[1:])
+        self.zeros = 64 * len(ones) - n
 
     @classmethod
     def build(cls, values: np.ndarray) -> "EliasFano":
@@ -70,9 +78,31 @@ class EliasFano:
         low_bytes = min(7, -(-spread.bit_length() // 8))
         low = np.ascontiguousarray(values).view(np.uint8).reshape(n, 8)[:, :low_bytes]
         top = (values >> _U(8 * low_bytes)).astype(np.int64)
-        bits = np.zeros(int(top[-1]) + n + 1, np.uint8)
+        bits = np.zeros((int(top[-1]) + n + 64) // 64 * 64, np.uint8)
         bits[top + np.arange(n)] = 1
-        return cls(n, low_bytes, np.ascontiguousarray(low), np.packbits(bits))
+        return cls(n, low_bytes, np.ascontiguousarray(low), np.packbits(bits, bitorder="little"))
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Places of the k-th ones, or zeros, which must exist."""
+        if one:
+            block = np.searchsorted(self.before, k.astype(self.before.dtype), "right") - 1
+            k = k - self.before[block].astype(np.int64)
+            word = self.high[block]
+        else:
+            lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(self.high), np.int64)
+            while (open_ := hi - lo > 1).any():  # the last block with at most k zeros before it
+                mid = (lo + hi) >> 1
+                right = 64 * mid - self.before[mid].astype(np.int64) <= k
+                lo, hi = np.where(open_ & right, mid, lo), np.where(open_ & ~right, mid, hi)
+            block = lo
+            k = k - (64 * block - self.before[block].astype(np.int64))
+            word = ~self.high[block]
+        parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+        sums = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+        byte = (sums <= k[:, None]).sum(axis=1)
+        rows = np.arange(len(k))
+        k = k - np.where(byte > 0, sums[rows, np.maximum(byte, 1) - 1], 0)
+        return 64 * block + 8 * byte + _SELECT[parts[rows, byte], k]
 
     def low_at(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros((len(i), 8), np.uint8)
@@ -81,16 +111,22 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions ``i``."""
-        top = self.ones[i] - i
+        top = self._select(np.asarray(i, np.int64), True) - i
         return (top.astype(_U) << _U(8 * self.low_bytes)) | self.low_at(i)
 
+    def _ended(self, top: np.ndarray) -> np.ndarray:
+        """How many values have a high part below ``top``."""
+        out = np.where(top > 0, self.n, 0)
+        inside = np.flatnonzero((top > 0) & (top <= self.zeros))
+        out[inside] = self._select(top[inside] - 1, False) - (top[inside] - 1)
+        return out
+
     def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """Position of the first value of at least ``x`` in [first, last), or ``last``."""
         if not self.n:
             return np.zeros(len(x), np.int64)
-        top = np.minimum(x >> _U(8 * self.low_bytes), _U(len(self.ends))).astype(np.int64)
-        bound = np.concatenate([[0], self.ends, [self.n]])
-        lo, hi = bound[top], bound[np.minimum(top + 1, len(bound) - 1)]
+        top = np.minimum(x >> _U(8 * self.low_bytes), _U(self.zeros)).astype(np.int64)
+        lo, hi = self._ended(top), self._ended(top + 1)
         if first is not None:
             lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
         want = x & _U((1 << (8 * self.low_bytes)) - 1)
@@ -143,7 +179,7 @@ class Trie:
         head = {k: (e.n, e.low_bytes) for k, e in ef.items()} | {"least": least, "most": most}
         arrays = {"counts": counts, "codes": codes}
         for k, e in ef.items():
-            arrays |= {f"{k}_low": e.low, f"{k}_high": e.high}
+            arrays |= {f"{k}_low": e.low, f"{k}_high": e.high.view(np.uint8)}
         return head, arrays
 
     @classmethod
