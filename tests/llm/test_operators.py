@@ -135,15 +135,17 @@ def test_language(spark, docs):
 
 def test_elias_fano():
     v = np.sort(np.random.default_rng(1).integers(0, 2**60, 3000).astype(np.uint64))
-    e = ngram_lm.EliasFano.build(v)
-    assert (e.get(np.arange(len(v))) == v).all()
-    x = np.concatenate([v, v + np.uint64(1), [np.uint64(0), np.uint64(2**63)]])
-    assert (e.successor(x) == np.searchsorted(v, x)).all()
+    for v in (v, v[:1], v[:0], np.repeat(v[:9], 100), np.arange(200, dtype=np.uint64)):
+        e = ngram_lm.EliasFano.build(v)
+        assert (e.get(np.arange(len(v))) == v).all() if len(v) else not e.n
+        x = np.concatenate([v, v + np.uint64(1), [np.uint64(0), np.uint64(2**63)]])
+        assert (e.successor(x) == np.searchsorted(v, x)).all()
 
 
-def test_language_model(docs):
+@pytest.mark.parametrize("least", [ngram_lm.FREQUENT, 20, 0])
+def test_language_model(docs, least):
     rows = docs.withColumn("train", F.col("doc_id") % 3 != 0)
-    got = {r.id: r for r in ngram_lm.score_documents(rows, train="train").collect()}
+    got = {r.id: r for r in ngram_lm.score_documents(rows, train="train", frequent_from=least).collect()}
     toks = {r.doc_id: [*(r.text or "").lower().split(), None] for r in docs.collect()}
     train = {d for d in toks if d % 3}
     c = Counter(t for d in train for t in toks[d])

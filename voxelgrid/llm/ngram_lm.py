@@ -12,9 +12,11 @@ p(w | u) = (c(u w) + m b(w)) / (c(u) + m). Its logarithm is a difference of a te
 only the counts of w and of the pair, and one that needs only the count of u; every token
 therefore is looked up in one shard, and no counts travel between shards.
 
-Words with a great share of all tokens are few by definition; their counts and those of
-equally frequent pairs are handed to all tasks, and the rest of their bigrams is dealt over
-shards by context. So no shard gathers a frequent word or pair.
+Words that would fill a good part of a shard are frequent; their counts and those of equally
+frequent pairs are handed to all tasks, and the rest of their bigrams is dealt over shards by
+context. So no shard gathers a frequent word or pair. There are at most ``MOST_FREQUENT`` of
+either (16 and 24 bytes each): only beyond ``MOST_FREQUENT * FREQUENT`` training tokens does
+the least count of a frequent word rise, with them.
 
 Contracts
 * null text is empty: one token, the end.
@@ -42,9 +44,13 @@ _U = np.uint64
 START, END = _U(0x51A2_7E0F_93C4_D865), _U(0xE94D_3B16_0A7F_C258)
 #: Prior weight m of the smoothing.
 PRIOR = 100.0
-#: A word or pair is frequent from this share of the training tokens on.
-FREQUENT = 1 / 1024
 TOKENS_PER_SHARD = 2_000_000
+#: A word or pair with more training tokens than this is frequent.
+FREQUENT = TOKENS_PER_SHARD // 32
+#: Bound on the number of frequent words, and of frequent pairs.
+MOST_FREQUENT = 1 << 20
+#: Text whose distinct words one task counts.
+COUNTED_BYTES = 256 << 20
 CHUNK_BYTES = 6 << 20
 CONTEXT_BITS = 40
 CODES = 65535
@@ -150,8 +156,8 @@ class Trie:
             setattr(self, name, EliasFano(n, low_bytes, arrays[f"{name}_low"].reshape(n, low_bytes), arrays[f"{name}_high"]))
 
     @staticmethod
-    def build(words: np.ndarray, contexts: np.ndarray, given: dict[int, int], base) -> tuple[dict, dict]:
-        """From the training bigrams. ``given``: counts of words whose bigrams lie in many shards."""
+    def build(words: np.ndarray, contexts: np.ndarray, frequent: np.ndarray, given: np.ndarray, base) -> tuple[dict, dict]:
+        """From the training bigrams. ``given``: counts of frequent words, whose bigrams lie in many shards."""
         key = (words, contexts)
         order = np.lexsort((key[1], key[0]))
         words, contexts = words[order], contexts[order]
@@ -160,11 +166,8 @@ class Trie:
         w_at, p_at = np.flatnonzero(new_word), np.flatnonzero(new_pair)
         level1 = words[w_at]
         counts = np.diff(np.concatenate([w_at, [len(words)]])).astype(np.int64)
-        if given:
-            keys = np.array(sorted(given), _U)
-            at = np.minimum(np.searchsorted(keys, level1), len(keys) - 1)
-            known = keys[at] == level1
-            counts[known] = np.array([given[int(k)] for k in keys], np.int64)[at[known]]
+        at = _place(frequent, level1)
+        counts[at >= 0] = given[at[at >= 0]]
         pairs = np.diff(np.concatenate([p_at, [len(words)]]))
         rank = np.cumsum(new_word)[p_at] - 1
         level2 = (rank.astype(_U) << _U(CONTEXT_BITS)) | contexts[p_at]
@@ -269,8 +272,13 @@ def _shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> _U(40)) * _U(n)) >> _U(24)).astype(np.int32)
 
 
-def _unigrams(docs: DataFrame, shards: int) -> tuple[int, int, dict[int, int], int]:
-    """Training tokens, distinct ones, counts of frequent words, and all tokens."""
+def _least(n: int, frequent: int) -> int:
+    """More tokens than this make a word or pair frequent, of ``n`` training tokens."""
+    return max(frequent, n // MOST_FREQUENT)
+
+
+def _unigrams(docs: DataFrame, shards: int, dear: int) -> tuple[int, int, np.ndarray, np.ndarray, int]:
+    """Training tokens, distinct ones, frequent words in order with their counts, and all tokens."""
 
     def count(batches):
         for b in batches:
@@ -298,22 +306,24 @@ def _unigrams(docs: DataFrame, shards: int) -> tuple[int, int, dict[int, int], i
             return
         kinds, back = np.unique(np.concatenate(words) if words else np.zeros(0, _U), return_inverse=True)
         sums = np.bincount(back, np.concatenate(counts) if words else None, len(kinds)).astype(np.int64) if words else np.zeros(0, np.int64)
-        dear = np.flatnonzero(sums > sums.sum() * FREQUENT)  # a superset: a shard has a part of the tokens
+        most = np.flatnonzero(sums > _least(int(sums.sum()), dear))  # a superset: a shard has a part of the tokens
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *kinds[dear].view(np.int64).tolist()], pa.int64()), pa.array([int(sums.sum()), *sums[dear].tolist()], pa.int64()), pa.array([len(kinds)] + [0] * len(dear), pa.int64()), pa.array([every] + [0] * len(dear), pa.int64())],
+            [pa.array([None, *kinds[most].view(np.int64).tolist()], pa.int64()), pa.array([int(sums.sum()), *sums[most].tolist()], pa.int64()), pa.array([len(kinds)] + [0] * len(most), pa.int64()), pa.array([every] + [0] * len(most), pa.int64())],
             names=["word", "n", "kinds", "every"],
         )
 
     rows = docs.select("text", "train").mapInArrow(count, "shard int, words binary, counts binary")
     found = written(rows.repartitionById(shards, F.col("shard")).mapInArrow(total, "word long, n long, kinds long, every long"))
     n, v, every = (int(x or 0) for x in found.where("word is null").agg(F.sum("n"), F.sum("kinds"), F.sum("every")).first())
-    # at most 1 / FREQUENT words have such a share
-    frequent = found.where("word is not null").where(F.col("n") > n * FREQUENT).select("word", "n").collect()
-    return n, v, {r[0] & (2**64 - 1): r[1] for r in frequent}, every
+    # fewer than MOST_FREQUENT words: their counts add up to n at most
+    hot = found.where("word is not null").where(F.col("n") > _least(n, dear)).select("word", "n").toArrow()
+    frequent, counts = hot["word"].to_numpy().astype(np.int64).view(_U), hot["n"].to_numpy().astype(np.int64)
+    order = np.argsort(frequent)
+    return n, v, frequent[order], counts[order], every
 
 
-def _frequent_pairs(docs: DataFrame, frequent: np.ndarray, n: int) -> dict[tuple[int, int], int]:
-    """Counts of frequent pairs; both of their words are frequent (or the context is the start)."""
+def _frequent_pairs(docs: DataFrame, frequent: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, words and counts of frequent pairs, by key; both of their words are frequent (or the context is the start)."""
     side = len(frequent) + 1
 
     def count(batches):
@@ -327,10 +337,14 @@ def _frequent_pairs(docs: DataFrame, frequent: np.ndarray, n: int) -> dict[tuple
                 yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(times, pa.int64())], names=["pair", "n"])
 
     if not len(frequent):
-        return {}
+        return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
     rows = docs.select("text", "train").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    names = [*frequent.tolist(), int(START)]
-    return {(names[r[0] // side], names[r[0] % side]): r[1] for r in rows.where(F.col("n") > n * FREQUENT).collect()}
+    found = rows.where(F.col("n") > least).toArrow()
+    names, pair = np.concatenate([frequent, [START]]), found["pair"].to_numpy().astype(np.int64)
+    words = names[pair // side]
+    keys = _pair_key(words, names[pair % side])
+    order = np.argsort(keys)
+    return keys[order], words[order], found["n"].to_numpy().astype(np.int64)[order]
 
 
 def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -341,7 +355,7 @@ def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train: str, folder: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train: str, folder: str | None = None, frequent_from: int = FREQUENT) -> DataFrame:
     """Fits the model on the rows where column ``train`` is not false, and scores all rows.
 
     Returns id, train, n_tokens, n_known, train_tokens, base_score and score. The tries stay in ``folder``.
@@ -351,10 +365,10 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(train), F.lit(True)).alias("train"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     tasks = tasks_for(spark)
-    n, v, given, every = _unigrams(docs, tasks)
-    ends = docs.where("train").count()
-    frequent = np.array(sorted(given), _U)
-    pairs = _frequent_pairs(docs, frequent, n)
+    size = docs.agg(F.count(F.when(F.col("train"), 1)).alias("ends"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    ends = size.ends
+    n, v, frequent, given_counts, every = _unigrams(docs, max(tasks, math.ceil((size.bytes or 0) / COUNTED_BYTES)), frequent_from)
+    hot, hot_words, hot_counts = _frequent_pairs(docs, frequent, _least(n, frequent_from))
     shards = max(tasks, math.ceil(every / TOKENS_PER_SHARD))
     z = math.log10(n + v + 1)
 
@@ -364,14 +378,12 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def context_term(counts):
         return -np.log10(counts + PRIOR)
 
-    given_counts = np.array([given[int(k)] for k in frequent], np.int64)
-    pair_keys = sorted((w, u, c) for (w, u), c in pairs.items())
+    hot_word_counts = given_counts[_place(frequent, hot_words)]
+    hot_base = base(hot_word_counts)
+    hot_value = np.log10(hot_counts + PRIOR * 10.0**hot_base) + np.where(hot_words == END, 0, context_term(hot_word_counts))
 
     def deal(batches):
         partition, number = TaskContext.get().partitionId(), 0
-        hot = np.array([_pair_key(np.array([w], _U), np.array([u], _U))[0] for w, u, _ in pair_keys], _U)
-        order = np.argsort(hot)
-        hot, hot_counts = hot[order], np.array([c for _, _, c in pair_keys], np.int64)[order]
         for b in batches:
             is_train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for a, starts, w, u in _tokens(b.column(2)):
@@ -383,11 +395,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 own = np.flatnonzero(h >= 0)
                 sums = np.zeros((3, rows))
                 if len(own):
-                    c = given_counts[_place(frequent, w[own])]
-                    value = np.log10(hot_counts[h[own]] + PRIOR * 10.0 ** base(c)) + np.where(w[own] == END, 0, context_term(c))
-                    sums[0] += np.bincount(doc[own], base(c), rows)
-                    sums[1] += np.bincount(doc[own], c > 0, rows)
-                    sums[2] += np.bincount(doc[own], value, rows)
+                    sums[0] += np.bincount(doc[own], hot_base[h[own]], rows)
+                    sums[1] += np.bincount(doc[own], minlength=rows)
+                    sums[2] += np.bincount(doc[own], hot_value[h[own]], rows)
                 sums[2] += context_term(ends)
                 train_bits = is_train[a : a + rows]
                 yield _row(chunk, -1, a, rows, b, starts, train_bits, sums)
@@ -434,14 +444,14 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             placed.append((chunk, at, counts1.astype(np.uint32)))
             at = z_
         uri = f"{folder}/{shard:06d}.trie"
-        Trie.write(uri, *Trie.build(w[is_train], u[is_train], given, base))
+        Trie.write(uri, *Trie.build(w[is_train], u[is_train], frequent, given_counts, base))
         trie = Trie.open(uri)
         _, first, back = np.unique(_pair_key(w, u), return_index=True, return_inverse=True)
         w, u = w[first], u[first]
         counts, value = trie.lookup(w, u)
         del trie
-        hot = _place(frequent, w)
-        counts = np.where(hot >= 0, given_counts[hot] if len(frequent) else 0, counts)
+        given = _place(frequent, w)
+        counts = np.where(given >= 0, given_counts[given] if len(frequent) else 0, counts)
         b_ = base(counts)
         value = np.where(np.isnan(value), np.log10(PRIOR) + b_, value) + np.where(w == END, 0, context_term(counts))
         for chunk, at, counts1 in placed:
@@ -488,7 +498,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         yield from answer(rest)
 
     answered = asked.repartitionById(shards, F.col("to")).mapInArrow(answer_all, kind)
-    out = answered.withColumn("to", F.pmod(F.xxhash64("chunk"), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("to")).select("chunk", "shard", "data")
+    out = answered.withColumn("to", F.pmod(F.xxhash64("chunk"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("to")).select("chunk", "shard", "data")
     return out.mapInArrow(combine, f"id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
