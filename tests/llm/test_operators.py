@@ -142,19 +142,19 @@ def test_elias_fano():
         assert (e.successor(x) == np.searchsorted(v, x)).all()
 
 
-@pytest.mark.parametrize("least", [ngram_lm.FREQUENT, 20, 0])
-def test_language_model(docs, least):
+@pytest.mark.parametrize(("least", "pairs"), [(ngram_lm.FREQUENT, ngram_lm.MOST_PAIRS), (ngram_lm.FREQUENT, 1), (20, 1), (20, 64)])
+def test_language_model(docs, least, pairs):
     rows = docs.withColumn("train", F.col("doc_id") % 3 != 0)
-    got = {r.id: r for r in ngram_lm.score_documents(rows, train="train", frequent_from=least).collect()}
+    got = {r.id: r for r in ngram_lm.score_documents(rows, train="train", frequent_from=least, most_pairs=pairs).collect()}
     toks = {r.doc_id: [*(r.text or "").lower().split(), None] for r in docs.collect()}
     train = {d for d in toks if d % 3}
     c = Counter(t for d in train for t in toks[d])
-    pairs = Counter(p for d in train for p in zip([0, *toks[d]], toks[d], strict=False))
+    seen = Counter(p for d in train for p in zip([0, *toks[d]], toks[d], strict=False))
     n, v, m = sum(c.values()), len(c), ngram_lm.PRIOR
     for d, t in toks.items():
         r = got[d]
         base = sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t)
-        full = sum(np.log10((pairs[u, w] + m * (c[w] + 1) / (n + v + 1)) / ((c[u] if u != 0 else len(train)) + m)) for u, w in zip([0, *t], t, strict=False))
+        full = sum(np.log10((seen[u, w] + m * (c[w] + 1) / (n + v + 1)) / ((c[u] if u != 0 else len(train)) + m)) for u, w in zip([0, *t], t, strict=False))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(full, rel=1e-3)
 

@@ -12,11 +12,11 @@ p(w | u) = (c(u w) + m b(w)) / (c(u) + m). Its logarithm is a difference of a te
 only the counts of w and of the pair, and one that needs only the count of u; every token
 therefore is looked up in one shard, and no counts travel between shards.
 
-Words that would fill a good part of a shard are frequent; their counts and those of equally
-frequent pairs are handed to all tasks, and the rest of their bigrams is dealt over shards by
-context. So no shard gathers a frequent word or pair. There are at most ``MOST_FREQUENT`` of
-either (16 and 24 bytes each): only beyond ``MOST_FREQUENT * FREQUENT`` training tokens does
-the least count of a frequent word rise, with them.
+Words that would fill a good part of a shard are frequent, and so are words and pairs with a
+great share of all tokens. Their counts are handed to all tasks, at most ``MOST_FREQUENT`` words
+and ``MOST_PAIRS`` pairs (16 and 24 bytes each); other bigrams of frequent words are dealt over
+shards by context. So no shard gathers more of a word than ``FREQUENT`` tokens (beyond
+``MOST_FREQUENT * FREQUENT`` training tokens, their share), or of a pair than its share.
 
 Contracts
 * null text is empty: one token, the end.
@@ -45,10 +45,11 @@ START, END = _U(0x51A2_7E0F_93C4_D865), _U(0xE94D_3B16_0A7F_C258)
 #: Prior weight m of the smoothing.
 PRIOR = 100.0
 TOKENS_PER_SHARD = 2_000_000
-#: A word or pair with more training tokens than this is frequent.
+#: A word with more training tokens than this is frequent.
 FREQUENT = TOKENS_PER_SHARD // 32
-#: Bound on the number of frequent words, and of frequent pairs.
+#: Bounds on the number of frequent words, and of frequent pairs.
 MOST_FREQUENT = 1 << 20
+MOST_PAIRS = 1 << 12
 #: Text whose distinct words one task counts.
 COUNTED_BYTES = 256 << 20
 CHUNK_BYTES = 6 << 20
@@ -63,16 +64,18 @@ _SELECT = np.array([[*(p for p in range(8) if b >> p & 1), *[0] * (8 - b.bit_cou
 class EliasFano:
     """A monotone sequence of 64-bit integers: low bits in whole bytes, high bits in unary.
 
-    The high bits stay packed, as mapped from the file. Beside them a directory has the number
-    of ones before each 64 of them (half their size), from which a one or a zero is selected.
+    The high bits stay packed, as mapped from the file. Beside them a directory has the numbers
+    of ones and of zeros before each 64 of them (as large as they), from which one is selected.
     """
 
     def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bytes, self.low = n, low_bytes, low
         self.high = high.view(np.uint64) if len(high) else np.zeros(1, np.uint64)
         ones = np.bitwise_count(self.high)
-        self.before = np.zeros(len(ones) + 1, np.uint32 if n < 2**32 else np.uint64)
-        np.cumsum(ones, out=self.before[1:])
+        small = np.uint32 if 64 * len(ones) < 2**32 else np.uint64
+        self.ones_before, self.zeros_before = np.zeros(len(ones) + 1, small), np.zeros(len(ones) + 1, small)
+        np.cumsum(ones, out=self.ones_before[1:])
+        np.cumsum(64 - ones, out=self.zeros_before[1:])
         self.zeros = 64 * len(ones) - n
 
     @classmethod
@@ -90,25 +93,18 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Places of the k-th ones, or zeros, which must exist."""
-        if one:
-            block = np.searchsorted(self.before, k.astype(self.before.dtype), "right") - 1
-            k = k - self.before[block].astype(np.int64)
-            word = self.high[block]
-        else:
-            lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(self.high), np.int64)
-            while (open_ := hi - lo > 1).any():  # the last block with at most k zeros before it
-                mid = (lo + hi) >> 1
-                right = 64 * mid - self.before[mid].astype(np.int64) <= k
-                lo, hi = np.where(open_ & right, mid, lo), np.where(open_ & ~right, mid, hi)
-            block = lo
-            k = k - (64 * block - self.before[block].astype(np.int64))
-            word = ~self.high[block]
-        parts = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
-        byte = (sums <= k[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        k = k - np.where(byte > 0, sums[rows, np.maximum(byte, 1) - 1], 0)
-        return 64 * block + 8 * byte + _SELECT[parts[rows, byte], k]
+        before = self.ones_before if one else self.zeros_before
+        block = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+        k = k - before[block].astype(np.int64)
+        word = self.high[block] if one else ~self.high[block]
+        # byte by byte: sums of the ones up to each byte of a word, side by side in one integer
+        counts = np.bitwise_count(word.view(np.uint8).reshape(-1, 8)).view(_U).ravel()
+        sums = counts * _U(0x0101010101010101)
+        least = ((_U(0x80) | k.astype(_U)) * _U(0x0101010101010101)) - sums
+        byte = np.bitwise_count(least & _U(0x8080808080808080)).astype(np.int64)
+        k = k - ((sums << _U(8)) >> (8 * byte).astype(_U) & _U(0xFF)).astype(np.int64)
+        part = (word >> (8 * byte).astype(_U) & _U(0xFF)).astype(np.int64)
+        return 64 * block + 8 * byte + _SELECT[part, k]
 
     def low_at(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros((len(i), 8), np.uint8)
@@ -223,6 +219,13 @@ class Trie:
         value = np.full(len(words), np.nan)
         if not self.word.n:
             return np.zeros(len(words), np.int64), value
+        order = np.argsort(words)  # near each other in the trie, near in time
+        counts = np.empty(len(words), np.int64)
+        counts[order], value[order] = self._in_order(words[order], contexts[order])
+        return counts, value
+
+    def _in_order(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value = np.full(len(words), np.nan)
         at = self.word.successor(words)
         safe = np.minimum(at, self.word.n - 1)
         known = (at < self.word.n) & (self.word.get(safe) == words)
@@ -272,12 +275,12 @@ def _shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> _U(40)) * _U(n)) >> _U(24)).astype(np.int32)
 
 
-def _least(n: int, frequent: int) -> int:
-    """More tokens than this make a word or pair frequent, of ``n`` training tokens."""
-    return max(frequent, n // MOST_FREQUENT)
+def _least(n: int, frequent: int, pairs: int) -> int:
+    """More tokens than this make a word frequent, of ``n`` training tokens. It grows with ``n``."""
+    return min(max(frequent, n // MOST_FREQUENT), n // pairs)
 
 
-def _unigrams(docs: DataFrame, shards: int, dear: int) -> tuple[int, int, np.ndarray, np.ndarray, int]:
+def _unigrams(docs: DataFrame, shards: int, dear: int, pairs: int) -> tuple[int, int, np.ndarray, np.ndarray, int]:
     """Training tokens, distinct ones, frequent words in order with their counts, and all tokens."""
 
     def count(batches):
@@ -306,7 +309,7 @@ def _unigrams(docs: DataFrame, shards: int, dear: int) -> tuple[int, int, np.nda
             return
         kinds, back = np.unique(np.concatenate(words) if words else np.zeros(0, _U), return_inverse=True)
         sums = np.bincount(back, np.concatenate(counts) if words else None, len(kinds)).astype(np.int64) if words else np.zeros(0, np.int64)
-        most = np.flatnonzero(sums > _least(int(sums.sum()), dear))  # a superset: a shard has a part of the tokens
+        most = np.flatnonzero(sums > _least(int(sums.sum()), dear, pairs))  # a superset: a shard has a part of the tokens
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *kinds[most].view(np.int64).tolist()], pa.int64()), pa.array([int(sums.sum()), *sums[most].tolist()], pa.int64()), pa.array([len(kinds)] + [0] * len(most), pa.int64()), pa.array([every] + [0] * len(most), pa.int64())],
             names=["word", "n", "kinds", "every"],
@@ -315,8 +318,8 @@ def _unigrams(docs: DataFrame, shards: int, dear: int) -> tuple[int, int, np.nda
     rows = docs.select("text", "train").mapInArrow(count, "shard int, words binary, counts binary")
     found = written(rows.repartitionById(shards, F.col("shard")).mapInArrow(total, "word long, n long, kinds long, every long"))
     n, v, every = (int(x or 0) for x in found.where("word is null").agg(F.sum("n"), F.sum("kinds"), F.sum("every")).first())
-    # fewer than MOST_FREQUENT words: their counts add up to n at most
-    hot = found.where("word is not null").where(F.col("n") > _least(n, dear)).select("word", "n").toArrow()
+    # fewer than MOST_FREQUENT words, or MOST_PAIRS: their counts add up to n at most
+    hot = found.where("word is not null").where(F.col("n") > _least(n, dear, pairs)).select("word", "n").toArrow()
     frequent, counts = hot["word"].to_numpy().astype(np.int64).view(_U), hot["n"].to_numpy().astype(np.int64)
     order = np.argsort(frequent)
     return n, v, frequent[order], counts[order], every
@@ -355,7 +358,7 @@ def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train: str, folder: str | None = None, frequent_from: int = FREQUENT) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train: str, folder: str | None = None, frequent_from: int = FREQUENT, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Fits the model on the rows where column ``train`` is not false, and scores all rows.
 
     Returns id, train, n_tokens, n_known, train_tokens, base_score and score. The tries stay in ``folder``.
@@ -367,8 +370,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tasks = tasks_for(spark)
     size = docs.agg(F.count(F.when(F.col("train"), 1)).alias("ends"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
     ends = size.ends
-    n, v, frequent, given_counts, every = _unigrams(docs, max(tasks, math.ceil((size.bytes or 0) / COUNTED_BYTES)), frequent_from)
-    hot, hot_words, hot_counts = _frequent_pairs(docs, frequent, _least(n, frequent_from))
+    n, v, frequent, given_counts, every = _unigrams(docs, max(tasks, math.ceil((size.bytes or 0) / COUNTED_BYTES)), frequent_from, most_pairs)
+    hot, hot_words, hot_counts = _frequent_pairs(docs, frequent[given_counts > n // most_pairs], n // most_pairs)
     shards = max(tasks, math.ceil(every / TOKENS_PER_SHARD))
     z = math.log10(n + v + 1)
 
