@@ -488,6 +488,69 @@ def good_target(spark, sf_dir):
     return audit.good_target(_nodes(spark), 80).select("node", "good")
 
 
+@_query("""WITH n AS (SELECT printf('n%02d', k) AS node, 50 + 13 * k % 97 AS remaining, (k * 5 % 23)::DOUBLE AS load, k % 6 <> 0 AS normal, k % 3 AS scheduled, k * 7 % 19 AS heartbeat, k % 4 <> 3 AS disk, k < 7 AS r1 FROM range(19) t(k))
+SELECT node, normal AND remaining - scheduled * 30 >= 30 AND load <= 2 * (SELECT avg(load) FROM n WHERE normal) AND disk AND heartbeat >= 3 AND NOT r1 AS good FROM n""")
+def good_target_in_full(spark, sf_dir):
+    k = F.substring("node", 2, 2).cast("int")
+    nodes = _nodes(spark).withColumns({"scheduled": k % 3, "heartbeat": k * 7 % 19, "type": F.when(k % 4 == 3, "ARCHIVE").otherwise("DISK")})
+    return audit.good_target(nodes, 30, storage_type="DISK", avoid_stale=True, stale_before=3, chosen_racks=("/r1", "/r1", "/r2"), most_per_rack=2).select("node", "good")
+
+
+@_query(f"WITH {GROUP_WINDOWS}, {_TILES}, w AS (SELECT tx, ty, tz FROM gw JOIN tiles ON {_TOUCH}) SELECT (SELECT count(*) FROM (SELECT DISTINCT * FROM w)) AS files, (SELECT count(*) FROM w) AS opens")
+def input_file_count(spark, sf_dir):
+    meta = _events(spark, sf_dir)[1]
+    return audit.input_files(windows.window_tiles(windows.group_windows(spark, meta, 2), meta))
+
+
+@_query(f"""WITH {EVENTS}, s AS (SELECT unnest(range((SELECT zdim // 2 - 1 FROM dims))) AS layer)
+SELECT layer::INTEGER AS layer, count(*) AS n, sum(attr1)::BIGINT AS total, sum(attr1 * (x + 31 * y + 977 * (z - 2 * layer)))::BIGINT AS placed FROM ev JOIN s ON z >= 2 * layer AND z < 2 * layer + 4 GROUP BY layer""")
+def sliding_z_slabs(spark, sf_dir):
+    df, meta = _events(spark, sf_dir)
+    place = F.col("x") + 31 * F.col("y") + 977 * F.col("z")
+    slabs = algebra.sliding_z_average(df, meta, 2, ["attr1"], resample=False)
+    return slabs.groupBy("layer").agg(F.count("*").alias("n"), F.sum("attr1").cast("long").alias("total"), F.sum(F.col("attr1").cast("long") * place).alias("placed"))
+
+
+@_query("""WITH r AS (SELECT o_orderkey // 3 AS block, printf('n%02d', o_orderkey % 19) AS node, CASE WHEN o_orderkey % 19 < 7 THEN '/r1' ELSE '/r2' END AS rack FROM orders)
+SELECT block::BIGINT AS block, node, rack, count(*) OVER (PARTITION BY block, rack) > 1 AS shared FROM r""")
+def replicas_by_rack(spark, sf_dir):
+    return placement.replicas_by_rack(_replicas(spark, sf_dir).select("block", "node", "rack"))
+
+
+def _replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rack = F.when(k % 19 < 7, "/r1").otherwise("/r2")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 3").alias("block"), F.format_string("n%02d", (k % 19).cast("int")).alias("node"), rack.alias("rack"), (k % 101).alias("heartbeat"), (k * 7 % 113).alias("remaining"))
+
+
+@_query("""WITH r AS (SELECT o_orderkey // 3 AS block, printf('n%02d', o_orderkey % 19) AS node, o_orderkey % 101 AS heartbeat, o_orderkey * 7 % 113 AS remaining, CASE WHEN o_orderkey % 19 < 7 THEN '/r1' ELSE '/r2' END AS rack FROM orders),
+s AS (SELECT *, count(*) OVER (PARTITION BY block, rack) > 1 AS shared FROM r), t AS (SELECT *, bool_or(shared) OVER (PARTITION BY block) AS any_shared FROM s)
+SELECT block::BIGINT AS block, coalesce(arg_min(node, heartbeat * 1000 + substr(node, 2)::INTEGER) FILTER (WHERE heartbeat < 10), arg_min(node, remaining * 1000 + substr(node, 2)::INTEGER)) AS node FROM t WHERE shared OR NOT any_shared GROUP BY block""")
+def extra_replica_by_rack(spark, sf_dir):
+    return placement.extra_replica(_replicas(spark, sf_dir), 10)
+
+
+@_query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 19 AS w, o_orderkey * 3 % 19 AS a, (o_orderkey * 3 + 5) % 19 AS b, (o_orderkey * 3 + 11) % 19 AS c FROM orders),
+d AS (SELECT *, CASE WHEN w = a THEN 0 WHEN (w < 7) = (a < 7) THEN 2 ELSE 4 END AS da, CASE WHEN w = b THEN 0 WHEN (w < 7) = (b < 7) THEN 2 ELSE 4 END AS db, CASE WHEN w = c THEN 0 WHEN (w < 7) = (c < 7) THEN 2 ELSE 4 END AS dc FROM o),
+f AS (SELECT k, CASE WHEN da <= db AND da <= dc THEN a WHEN db <= dc THEN b ELSE c END AS x, CASE WHEN da <= db AND da <= dc THEN b WHEN db <= dc THEN a ELSE b END AS y, CASE WHEN da <= db AND da <= dc THEN c WHEN db <= dc THEN c ELSE a END AS z FROM d)
+SELECT k AS block, CASE WHEN (x < 7) <> (y < 7) AND (x < 7) = (z < 7) THEN printf('n%02d n%02d n%02d', x, z, y) ELSE printf('n%02d n%02d n%02d', x, y, z) END AS nodes FROM f""")
+def pipeline_order(spark, sf_dir):
+    node = lambda n: F.struct(F.format_string("n%02d", n.cast("int")).alias("node"), F.when(n < 7, "/r1").otherwise("/r2").alias("rack"))
+    k = F.col("o_orderkey")
+    order = placement.pipeline_order(node(k % 19), F.array(*(node((k * 3 + p) % 19) for p in (0, 5, 11))))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("block"), F.array_join(order["node"], " ").alias("nodes"))
+
+
+@_query("""WITH i AS (SELECT c_custkey // 10 AS row, c_custkey % 10 AS col, printf('n%02d n%02d', c_custkey % 19, (c_custkey + 4) % 19) AS replicas FROM customer WHERE c_custkey % 7 <> 0)
+SELECT o_orderkey AS id, r::BIGINT AS row, c::BIGINT AS col, replicas FROM (SELECT o_orderkey, o_custkey // 10 AS r, o_custkey % 10 AS c FROM orders) LEFT JOIN i ON r = row AND c = col""")
+def look_up_cells(spark, sf_dir):
+    k = F.col("c_custkey")
+    names = F.array(*(F.format_string("n%02d", ((k + p) % 19).cast("int")) for p in (0, 4)))
+    index = spark.read.parquet(f"{sf_dir}/customer.parquet").where(k % 7 != 0).select(F.expr("c_custkey div 10").alias("row"), (k % 10).alias("col"), names.alias("replicas"))
+    cells = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.expr("o_custkey div 10").alias("row"), (F.col("o_custkey") % 10).alias("col"))
+    return placement.look_up_cells(index, cells).select("id", "row", "col", F.array_join("replicas", " ").alias("replicas"))
+
+
 @_query("""SELECT n::INTEGER AS n, r::INTEGER AS r, CASE WHEN r <= 1 THEN n WHEN (n - 1) // r + 2 = n THEN (n - 1) // r + 1 ELSE (n - 1) // r + 2 END::INTEGER AS most FROM range(1, 13) a(n), range(1, 7) b(r)""")
 def max_nodes_per_rack(spark, sf_dir):
     rows = spark.range(72).select((F.col("id") % 12 + 1).cast("int").alias("n"), (F.floor(F.col("id") / 12) + 1).cast("int").alias("r"))

@@ -39,12 +39,18 @@ def block_average(voxels: DataFrame, meta: GridMeta, radius: int, attributes: li
     return blocks.agg(*(_mean(a, mode, F.lit(side**3)).alias(a) for a in attributes))
 
 
-def sliding_z_average(voxels: DataFrame, meta: GridMeta, radius: int, attributes: list[str], *, mode: str = "byte") -> DataFrame:
-    """Block means along x and y, over slabs of 2 radius layers that advance by one radius along z."""
+def sliding_z_average(voxels: DataFrame, meta: GridMeta, radius: int, attributes: list[str], *, mode: str = "byte", resample: bool = True) -> DataFrame:
+    """Block means along x and y, over slabs of 2 radius layers that advance by one radius along z.
+
+    Without ``resample`` the slabs themselves: (layer, x, y, z, attributes), z within the slab.
+    """
     side = 2 * radius
     inside = (F.col("x") < meta.x // side * side) & (F.col("y") < meta.y // side * side)
     step = _block("z", radius)
     whole = F.filter(F.array(step, step - 1), lambda k: (k >= 0) & (k * radius + side <= meta.z))
+    if not resample:
+        rows = voxels.withColumn("layer", F.explode(whole))
+        return rows.select("layer", "x", "y", (F.col("z") - F.col("layer") * radius).alias("z"), *attributes)
     rows = voxels.where(inside).withColumn("layer", F.explode(whole))
     blocks = rows.groupBy(_block("x", side).alias("bx"), _block("y", side).alias("by"), "layer")
     return blocks.agg(*(_mean(a, mode, F.lit(side**3)).alias(a) for a in attributes))

@@ -64,6 +64,11 @@ def read_amplification(windows: DataFrame, meta: GridMeta) -> DataFrame:
     return windows.agg(F.count("*").alias("windows"), F.sum(volume).alias("delivered")).withColumn("amplification", F.col("delivered") / F.lit(float(meta.voxels)))
 
 
+def input_files(tiles: DataFrame) -> DataFrame:
+    """(files, opens): tile files that windows read, and how often one is opened."""
+    return tiles.groupBy(*TILE).agg(F.count("*").alias("n")).agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("opens"))
+
+
 def placement_status(placement: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
     """(tx, ty, tz, replicas, racks, ok): distinct racks of each tile against the least."""
     rows = placement.select(*TILE, F.explode("replicas").alias("node")).join(nodes.select("node", "rack"), "node", "left")
@@ -81,9 +86,24 @@ def marker_balance(index: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").join(counts, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def good_target(nodes: DataFrame, block_bytes: int) -> DataFrame:
-    """Adds ``good``: in service, with room for the block, and no more than twice the mean load."""
+def good_target(nodes: DataFrame, block_bytes: int, *, storage_type: str | None = None, avoid_stale: bool = False, stale_before: int = 0, consider_load: bool = True, chosen_racks: tuple[str, ...] = (), most_per_rack: int | None = None) -> DataFrame:
+    """Adds ``good``: in service, with room for the block, and no more than twice the mean load.
+
+    On request also: of a storage type (column ``type``), with a ``heartbeat`` that is not
+    stale, and on a ``rack`` that has fewer than ``most_per_rack`` of the nodes chosen so far.
+    Blocks already on their way (column ``scheduled``) take their room first. Nulls are not good.
+    """
     mean = nodes.where("state = 'normal'").agg(F.avg("load").alias("mean_load"))
     rows = nodes.join(F.broadcast(mean))  # one row
-    good = (F.col("state") == "normal") & (F.col("remaining") >= block_bytes) & (F.col("load") <= 2 * F.col("mean_load"))
-    return rows.withColumn("good", good).drop("mean_load")
+    taken = F.col("scheduled") * block_bytes if "scheduled" in nodes.columns else F.lit(0)
+    good = (F.col("state") == "normal") & (F.col("remaining") - taken >= block_bytes)
+    if consider_load:
+        good &= F.col("load") <= 2 * F.col("mean_load")
+    if storage_type is not None:
+        good &= F.col("type") == storage_type
+    if avoid_stale:
+        good &= F.col("heartbeat") >= stale_before
+    if most_per_rack is not None:
+        same = sum((F.when(F.col("rack") == r, 1).otherwise(0) for r in chosen_racks), F.lit(0))
+        good &= same < most_per_rack
+    return rows.withColumn("good", F.coalesce(good, F.lit(False))).drop("mean_load")

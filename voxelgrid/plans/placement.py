@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import GridMeta, GroupSpec, main_group, right_partner, row_partners
@@ -202,10 +202,48 @@ def clear_table(table: DataFrame, rasters: DataFrame) -> DataFrame:
     return table.join(rasters.select("raster"), "raster", "left_anti")
 
 
+def replicas_by_rack(replicas: DataFrame) -> DataFrame:
+    """Adds ``shared``: whether another replica of the block is on the same rack."""
+    return replicas.withColumn("shared", F.count("*").over(Window.partitionBy("block", "rack")) > 1)
+
+
 def extra_replica(replicas: DataFrame, stale_before: int) -> DataFrame:
     """(block, node): the replica to drop of each block: the oldest heartbeat, else the least room.
 
-    ``replicas`` has block, node, heartbeat and remaining.
+    ``replicas`` has block, node, heartbeat and remaining; with a column ``rack``, replicas that
+    share their rack are taken first, so that no block loses a rack without need.
     """
+    if "rack" in replicas.columns:
+        marked = replicas_by_rack(replicas)
+        any_shared = F.max("shared").over(Window.partitionBy("block"))
+        replicas = marked.withColumn("any_shared", any_shared).where(F.col("shared") | ~F.col("any_shared"))
     old = F.col("heartbeat") < stale_before
     return replicas.groupBy("block").agg(F.coalesce(F.min_by(F.when(old, F.col("node")), F.when(old, F.struct("heartbeat", "node"))), F.min_by("node", F.struct("remaining", "node"))).alias("node"))
+
+
+def pipeline_order(writer: Column, replicas: Column) -> Column:
+    """Replicas in the order of a write pipeline: each next one is the nearest to the one before.
+
+    ``writer`` is a struct (node, rack) and ``replicas`` an array of such. A node is at distance
+    0 from itself, 2 from its rack and 4 from others. The nearest trades places with the one
+    whose turn it is; ties go to the front. Without a writer the first replica is its own.
+    """
+
+    def nearest(rows: Column, at: Column, i: Column) -> Column:
+        distance = lambda r: F.when(r["node"] == at["node"], 0).when(r["rack"] == at["rack"], 2).otherwise(4)
+        ranked = F.transform(rows, lambda r, p: F.when(p >= i, F.struct(distance(r).alias("d"), p.alias("p"))))
+        return F.array_min(F.filter(ranked, lambda x: x.isNotNull()))["p"]
+
+    def step(state: Column, i: Column) -> Column:
+        rows, j = state["rows"], nearest(state["rows"], state["at"], i)
+        swapped = F.transform(rows, lambda r, p: F.when(p == i, F.get(rows, j)).when(p == j, F.get(rows, i)).otherwise(r))
+        return F.struct(swapped.alias("rows"), F.get(rows, j).alias("at"))
+
+    start = F.struct(replicas.alias("rows"), F.coalesce(writer, F.get(replicas, F.lit(0))).alias("at"))
+    turns = F.when(F.size(replicas) > 0, F.sequence(F.lit(0), F.size(replicas) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(turns, start, step)["rows"]
+
+
+def look_up_cells(index: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cells`` (row, col, ...) with the replicas that the grid index has for them, or null."""
+    return cells.join(index.where("row >= 0").select("row", "col", "replicas"), ["row", "col"], "left")

@@ -105,6 +105,29 @@ def read_meta(spark: SparkSession, folder: str) -> GridMeta:
     return GridMeta(m.nx * m.cx, m.ny * m.cy, m.nz * m.cz, m.cx, m.cy, m.cz, m.raster)
 
 
+#: Fields of a 2D raster's metadata file, big-endian 32-bit integers in this order.
+INFO2D = ("cell_rows", "cell_cols", "cell_row_size", "cell_col_size", "group_row_size", "group_col_size", "group_row_overlap", "group_col_overlap")
+INFO2D_FILE = "info.dat"
+
+
+def write_info2d(folder: str, **fields: int) -> None:
+    """Writes the metadata file of a 2D raster; one small file, from the driver."""
+    if set(fields) != set(INFO2D):
+        raise ValueError(f"a 2D raster has the fields {INFO2D}")
+    fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/{INFO2D_FILE}") as f:
+        f.write(b"".join(int(fields[n]).to_bytes(4, "big", signed=True) for n in INFO2D))
+
+
+def read_info2d(spark: SparkSession, folder: str) -> DataFrame:
+    """One row with the fields of the metadata file below ``folder``."""
+    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{INFO2D_FILE}")
+    whole = lambda k: F.conv(F.hex(F.substring("content", 4 * k + 1, 4)), 16, 10).cast("long")
+    signed = lambda n: F.when(n >= 2**31, n - 2**32).otherwise(n).cast("int")
+    return files.select(*(signed(whole(k)).alias(n) for k, n in enumerate(INFO2D)))
+
+
 def read_tiles(spark: SparkSession, folder: str, prefix: str = "r3d") -> DataFrame:
     """(raster, tx, ty, tz, path, content); whole files, chosen by name before they are opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}_*").load(folder)
@@ -149,7 +172,12 @@ def read_grid_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_grid_index(placement: DataFrame, path: str, mode: str = "append") -> None:
-    """Lines of placed tiles, and a marker line with the first replica of each later tile of row 0."""
+    """Lines of placed tiles, and a marker line with the first replica of each later tile of row 0.
+
+    With mode ``reset`` a table that has the tile (0, 0) begins the index anew, and others append.
+    """
+    if mode == "reset":
+        mode = "append" if placement.where("row = 0 and col = 0").isEmpty() else "overwrite"
     line = F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"), F.concat_ws(" ", "replicas"))
     marker = F.when((F.col("row") == 0) & (F.col("col") != 0), F.concat_ws(" ", F.lit("-1"), F.lit("-1"), F.col("replicas")[0]))
     placement.select(F.explode(F.array_compact(F.array(line, marker))).alias("value")).write.mode(mode).text(path)
