@@ -183,6 +183,23 @@ def write_grid_index(placement: DataFrame, path: str, mode: str = "append") -> N
     placement.select(F.explode(F.array_compact(F.array(line, marker))).alias("value")).write.mode(mode).text(path)
 
 
+def append_io_statistics(statistics: DataFrame, path: str) -> None:
+    """Appends lines of the hour, window, and megabytes read in all and from other nodes.
+
+    ``statistics`` has split_id, total_bytes and remote_bytes. What a store has really sent is
+    not known to Spark, so these are the bytes that follow from the windows.
+    """
+    mb = lambda c: (F.col(c) / 1024.0 / 1024.0).cast("string")
+    stamp = F.date_format(F.current_timestamp(), "yyyy/MM/dd|HH:mm")
+    statistics.select(F.concat_ws(" ", stamp, F.col("split_id").cast("string"), mb("total_bytes"), mb("remote_bytes")).alias("value")).write.mode("append").text(path)
+
+
+def read_io_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """(at, split_id, total_mb, remote_mb) lines; others are skipped."""
+    p = F.split("value", " ")
+    return spark.read.text(path).where(F.size(p) == 4).select(F.to_timestamp(p[0], "yyyy/MM/dd|HH:mm").alias("at"), p[1].cast("long").alias("split_id"), p[2].cast("double").alias("total_mb"), p[3].cast("double").alias("remote_mb"))
+
+
 def read_static_placement(spark: SparkSession, path: str) -> DataFrame:
     """(file, replicas); lines without exactly four fields are skipped."""
     p = F.split("value", " ")

@@ -1,6 +1,7 @@
 """A Spark data source of windows: a partition is a window, and its task opens the tiles it needs.
 
-Halos are read twice instead of shuffled. Only the bytes of rows inside a window's box are used.
+Halos are read twice instead of shuffled. Of a tile only the rows inside a window's box are read,
+and a window goes out some layers at a time, so that a task never holds it whole.
 
     spark.dataSource.register(VoxelWindowSource)
     spark.read.format("voxelwindow").option("path", uri).option("radius", 2).load()
@@ -17,6 +18,22 @@ from ..functions.geometry import GridMeta, GroupSpec, check_radius
 from ..functions.profiles import DEFAULT, profile
 
 
+#: Voxels of a batch, about.
+CELLS = 1_000_000
+
+
+def tile_rows(f: pa.NativeFile, meta: GridMeta, dtype: np.dtype, layers: tuple[int, int], rows: tuple[int, int]) -> np.ndarray:
+    """Some rows of some layers of a tile, by seeks: one read where the layers are whole, else one a layer."""
+    row = meta.cx * dtype.itemsize
+    n = rows[1] - rows[0]
+    parts = [(layers[0], layers[1] - layers[0])] if n == meta.cy else [(k, 1) for k in range(*layers)]
+    out = []
+    for first, many in parts:
+        f.seek((first * meta.cy + rows[0]) * row)
+        out.append(f.read(many * n * row))
+    return np.frombuffer(b"".join(out), dtype).reshape(layers[1] - layers[0], n, meta.cx)
+
+
 class WindowPartition(InputPartition):
     def __init__(self, split_id: int, box: tuple[int, ...]):
         super().__init__(split_id)
@@ -62,25 +79,40 @@ class _Reader(DataSourceReader):
         return [WindowPartition(*b) for b in boxes(self.meta, self.radius, self.spec)]
 
     def read(self, partition: WindowPartition):
-        m, dtype = self.meta, self.profile.dtype
+        """A window's voxels, some layers at a time; only the rows that it needs are read from a tile."""
         x0, x1, y0, y1, z0, z1 = partition.box
+        layers = max(1, CELLS // ((x1 - x0) * (y1 - y0)))
         fs, base = pyarrow.fs.FileSystem.from_uri(self.path)
+        for lo in range(z0, z1, layers):
+            yield self._batch(partition, self._slab(fs, base, (x0, x1, y0, y1, lo, min(lo + layers, z1))), lo)
+
+    def _slab(self, fs: pyarrow.fs.FileSystem, base: str, box: tuple[int, ...]) -> np.ndarray:
+        m, dtype = self.meta, self.profile.dtype
+        x0, x1, y0, y1, z0, z1 = box
         block = np.empty((z1 - z0, y1 - y0, x1 - x0), dtype)
         for tz in range(z0 // m.cz, (z1 - 1) // m.cz + 1):
             for ty in range(y0 // m.cy, (y1 - 1) // m.cy + 1):
                 for tx in range(x0 // m.cx, (x1 - 1) // m.cx + 1):
-                    with fs.open_input_file(f"{base}/{self.prefix}_{m.raster}_{tx}_{ty}_{tz}") as f:
-                        tile = np.frombuffer(f.read(), dtype).reshape(m.cz, m.cy, m.cx)
                     lo = [max(a, t * c) for a, t, c in ((z0, tz, m.cz), (y0, ty, m.cy), (x0, tx, m.cx))]
                     hi = [min(a, (t + 1) * c) for a, t, c in ((z1, tz, m.cz), (y1, ty, m.cy), (x1, tx, m.cx))]
+                    at = [(a - t * c, b - t * c) for a, b, t, c in zip(lo, hi, (tz, ty, tx), (m.cz, m.cy, m.cx), strict=True)]
+                    with fs.open_input_file(f"{base}/{self.prefix}_{m.raster}_{tx}_{ty}_{tz}") as f:
+                        if f.size() != m.cz * m.cy * m.cx * dtype.itemsize:
+                            raise ValueError(f"tile {tx},{ty},{tz} has {f.size()} bytes")
+                        part = tile_rows(f, m, dtype, at[0], at[1])
                     to = tuple(slice(a - o, b - o) for a, b, o in zip(lo, hi, (z0, y0, x0), strict=True))
-                    block[to] = tile[tuple(slice(a - t * c, b - t * c) for a, b, t, c in zip(lo, hi, (tz, ty, tx), (m.cz, m.cy, m.cx), strict=True))]
+                    block[to] = part[:, :, slice(*at[2])]
+        return block
+
+    def _batch(self, partition: WindowPartition, block: np.ndarray, z: int) -> pa.RecordBatch:
+        x0, _, y0, _, z0, _ = partition.box
         dz, dy, dx = np.indices(block.shape, np.int32).reshape(3, -1)
+        dz += z - z0
         flat = block.reshape(-1)
         cells = [pa.array(np.full(len(flat), partition.split_id, np.int64)), *(pa.array(v) for v in (x0 + dx, y0 + dy, z0 + dz, dx, dy, dz))]
         kinds = {"smallint": pa.int16(), "int": pa.int32(), "float": pa.float32()}
         values = [pa.array(flat[n].astype(flat[n].dtype.newbyteorder("="))).cast(kinds[s]) for n, _, s in self.profile.fields]
-        yield pa.RecordBatch.from_arrays([*cells, *values], names=["split_id", "x", "y", "z", "dx", "dy", "dz", *self.profile.attributes])
+        return pa.RecordBatch.from_arrays([*cells, *values], names=["split_id", "x", "y", "z", "dx", "dy", "dz", *self.profile.attributes])
 
 
 class VoxelWindowSource(DataSource):
