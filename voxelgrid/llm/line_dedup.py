@@ -68,4 +68,6 @@ def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     outs = {out: text} | ({removed_col: F.when(F.col("ats").isNull(), 0).otherwise(F.size(covered))} if removed_col else {})
     names = [c for c in docs.columns if c not in outs]
     order = [*docs.columns, *(c for c in outs if c not in docs.columns)]
-    return parts.select(*(F.col("row")[c].alias(c) for c in names), *(v.alias(c) for c, v in outs.items())).select(*order)
+    # in a step of their own: beside an input's column "solid", a lambda would take that one
+    parts = parts.select("row", F.struct(*(v.alias(c) for c, v in outs.items())).alias("new"))
+    return parts.select(*(F.col("row")[c].alias(c) for c in names), *(F.col("new")[c].alias(c) for c in outs)).select(*order)
